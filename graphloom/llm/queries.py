@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.common import load
 from graphloom.llm import exact_dedup, line_dedup
+from graphloom.llm.near_dedup import near_duplicates
 from graphloom.llm.packing import best_fit_packing
 from graphloom.llm.token_counts import token_counts
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
@@ -26,7 +31,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_report(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_token_counts, op6_best_fit_packing, op8_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_exact_dedup, op5_token_counts, op6_best_fit_packing, op8_line_dedup)}
 
 #: Token counts and packing need the tokenizer libraries; tests hold them against those.
 ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
