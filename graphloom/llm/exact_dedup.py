@@ -7,8 +7,8 @@ candidate: the bytes of every hit are compared with those of the row that stays,
 digests are grouped again by their full text.
 
 Texts count as equal when identical after each run of white space is replaced by one blank; null counts as empty.
-Of equal texts the smallest id stays.  Repeated rows with the same id fall in one group; all of them have
-``kept`` set if theirs is the smallest id.  An empty table gives no rows.  Other columns are ignored and dropped.
+Of equal texts the smallest id stays.  Repeated rows with the same id and text fall in one group; all of them have
+``kept`` set if theirs is the smallest id.  A null id comes before all others.  An empty table gives no rows.  Other columns are ignored and dropped.
 """
 
 from __future__ import annotations
@@ -20,8 +20,13 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut, fresh_path, text_or_empty
 
-STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Without preallocation a partition of the state takes the room of its rows, not some megabytes at least.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+#: Digests of repeated texts that may be broadcast (about 100 bytes each).
+BROADCAST_DIGESTS = 200_000
 
 
 def sha256(text: Column) -> Column:
@@ -48,33 +53,37 @@ def digest_state(spark: SparkSession, path: str, id_col: str, text_col: str, dig
     def sink(part: DataFrame, batch: int) -> None:
         part.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{home}/state/batch={batch}")
 
-    before = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKS)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         seen.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{home}/log").trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     updates = spark.read.schema(empty.schema.add("batch", "long")).parquet(f"{home}/state/batch=*")
     return updates.groupBy("digest").agg(F.max_by(F.struct("keep", "group_size"), "batch").alias("last")).select("digest", "last.keep", "last.group_size")
 
 
 def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """Per row of the table at ``path``: id, keep_id, group_size, kept, text_sha256."""
-    state = digest_state(spark, path, id_col, text_col, digest)
+    state = cut(digest_state(spark, path, id_col, text_col, digest).select("digest", F.col("keep.id").alias("keep_id"), "group_size"), "exact-dedup-state")
     docs = spark.read.parquet(path).select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
-    seen = docs.withColumn("digest", digest(F.col("norm"))).join(state, "digest")
-    stays = seen.where((F.col("id") == F.col("keep.id")) & (F.col("group_size") > 1)).groupBy("digest").agg(F.min("norm").alias("keep_norm"))
-    same = (F.col("id") == F.col("keep.id")) | (F.col("norm") == F.col("keep_norm"))
-    checked = seen.join(stays, "digest", "left").select("id", "digest", F.col("keep.id").alias("keep_id"), "group_size", F.sha2("norm", 256).alias("text_sha256"), F.when(~same, F.col("norm")).alias("other"))
-    checked = cut(checked if digest is not sha256 else checked.withColumn("digest", F.col("text_sha256")), "exact-dedup-checked")
-    if not checked.where(F.col("other").isNotNull()).isEmpty():  # equal digests of different texts
-        text_key = F.coalesce(F.col("other"), F.lit(""))
-        own = checked.groupBy("digest", text_key.alias("text_key"), F.col("other").isNull().alias("first")).agg(F.min("id").alias("own_keep"), F.count(F.lit(1)).alias("own_size"))
-        checked = (
-            checked.withColumn("text_key", text_key).withColumn("first", F.col("other").isNull()).join(own, ["digest", "text_key", "first"])
-            .select("id", F.col("own_keep").alias("keep_id"), F.col("own_size").alias("group_size"), "text_sha256")
+    seen = docs.select("id", digest(F.col("norm")).alias("digest"), F.sha2("norm", 256).alias("text_sha256")).join(state, "digest")
+    shared = state.where("group_size > 1").select("digest", "keep_id")
+    small = shared.count() <= BROADCAST_DIGESTS
+    hits = cut(docs.withColumn("digest", digest(F.col("norm"))).join(F.broadcast(shared) if small else shared, "digest"), "exact-dedup-hits")
+    stays = hits.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("keep_norm"))
+    other = cut(hits.join(stays, "digest").where(F.col("norm") != F.col("keep_norm")).select("digest", "id", "norm"), "exact-dedup-other")
+    if not other.isEmpty():  # equal digests of different texts
+        own = other.groupBy("digest", "norm").agg(F.min("id").alias("own_keep"), F.count(F.lit(1)).alias("own_size")).select("digest", F.sha2("norm", 256).alias("text_sha256"), "own_keep", "own_size")
+        rest = own.groupBy("digest").agg(F.sum("own_size").alias("others"))
+        seen = (
+            seen.join(own, ["digest", "text_sha256"], "left").join(rest, "digest", "left")
+            .withColumn("keep_id", F.when(F.col("own_size").isNull(), F.col("keep_id")).otherwise(F.col("own_keep")))
+            .withColumn("group_size", F.coalesce("own_size", F.col("group_size") - F.coalesce("others", F.lit(0))))
         )
-    return checked.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    return seen.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 ORACLE = """
