@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.common import load
 from graphloom.llm import exact_dedup, line_dedup, substring_dedup
+from graphloom.llm.fingerprints import fingerprints
 from graphloom.llm.near_dedup import near_duplicates
 from graphloom.llm.packing import best_fit_packing
 from graphloom.llm.quality import quality_scores
@@ -32,6 +33,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(load(spark, sf_dir, "documents"))
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(load(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_report(load(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_near_dedup, op3_exact_dedup, op5_token_counts, op6_best_fit_packing, op8_line_dedup, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_near_dedup, op3_exact_dedup, op5_token_counts, op6_best_fit_packing, op7_document_fingerprints, op8_line_dedup, op10_quality_classifier)}
 
 #: Token counts and packing need the tokenizer libraries; tests hold them against those.
 ORACLE_SQL: dict[str, str] = {"op1_suffix_array_dedup": substring_dedup.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
