@@ -6,8 +6,8 @@
    A pair's similarity is estimated from both sketches by maximum likelihood; clear misses go; the others are verified
    on their full sets.  Verified links give components.
 4. Buckets whose members are not yet in one component are finished exactly: all pairs of different components are
-   compared on their sketches inside blocks of bounded size, each pair once (in the first band that both share), and
-   only those that may reach the threshold leave a block and are verified.  So no link between components is lost to
+   compared on sketches and then on sets of 32-bit hashes inside blocks of bounded size, each pair once (in the first
+   band that both share), and only those that reach the threshold there leave a block and are verified.  So no link between components is lost to
    the star, and pairs within a component are never emitted.
 
 With 42 bands of 6 registers a pair at similarity 0.85 shares no bucket with a probability of 2e-9 (3e-6 at 0.8).  The
@@ -115,56 +115,92 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return heads.unionByName(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b")).mapInArrow(run, "a long, b long")
 
 
-def crossing(members: DataFrame, reps: DataFrame, least: float, percent: int) -> DataFrame:
+def short_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(id, words): the set with hashes cut to 32 bits, sorted; chance can make sets look more alike, never less."""
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique((setsketch.shingles(t, width) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["id", "words"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, words binary")
+
+
+class Rows:
+    """Members of a block as arrays."""
+
+    def __init__(self, key, i, j, left, right, band, id_, comp, n, regs, keys, words):
+        self.parts = key, i, j, left, right, band, id_, comp, n, regs, keys, words
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> "Rows":
+        *plain, regs, words = batch.columns
+        regs = _regs(regs.to_pylist())
+        blobs = np.empty(len(regs), object)
+        blobs[:] = words.to_pylist()
+        return cls(*(c.to_numpy(zero_copy_only=False) for c in plain), regs, setsketch.bands(regs), blobs)
+
+    def take(self, at) -> "Rows":
+        return Rows(*(x[at] for x in self.parts))
+
+    def __add__(self, other: "Rows") -> "Rows":
+        return Rows(*(np.concatenate([x, y]) for x, y in zip(self.parts, other.parts)))
+
+    def groups(self) -> np.ndarray:
+        """Where each group of equal (key, i, j) begins."""
+        key, i, j = self.parts[:3]
+        return np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+
+    def pairs(self, least: float, percent: int) -> list[tuple[int, int]]:
+        """Of one group: pairs of different components that may reach the threshold and shared no earlier band."""
+        key, i, j, left, right, band, id_, comp, n, regs, keys, words = self.parts
+        x, y = np.flatnonzero(left), np.flatnonzero(right)
+        ok = (comp[x][:, None] != comp[y][None, :]) & (100 * np.minimum(n[x][:, None], n[y][None, :]) >= percent * np.maximum(n[x][:, None], n[y][None, :]))
+        if i[0] == j[0]:
+            ok &= id_[x][:, None] < id_[y][None, :]
+        p, q = np.nonzero(ok)
+        found, known = [], {}
+        for s in range(0, len(p), 4096):
+            a, b = x[p[s : s + 4096]], y[q[s : s + 4096]]
+            near = (regs[a] == regs[b]).sum(1) >= (least - 0.1) * setsketch.M
+            near &= (keys[a, : band[0]] != keys[b, : band[0]]).all(1)
+            a, b = a[near], b[near]
+            if len(a):
+                good = setsketch.estimate(regs[a], regs[b], n[a], n[b]) >= least
+                for u, v in zip(a[good].tolist(), b[good].tolist()):
+                    su, sv = (known[k] if k in known else known.setdefault(k, np.frombuffer(words[k], np.uint32)) for k in (u, v))
+                    common = len(np.intersect1d(su, sv, assume_unique=True)) + 2 * max(n[u] - len(su), n[v] - len(sv))
+                    if 100 * common >= percent * (n[u] + n[v] - common):
+                        found.append((min(id_[u], id_[v]), max(id_[u], id_[v])))
+        return found
+
+
+def crossing(members: DataFrame, profiles: DataFrame, least: float, percent: int) -> DataFrame:
     """Pairs of different components within a bucket that may reach the threshold, compared in blocks.
 
-    ``members`` has key, band, id, comp and size (rows of the bucket).
+    ``members`` has key, band, id, comp and size (rows of the bucket); ``profiles`` id, n, regs and words.  Sketches sort
+    out most pairs, short sets the rest, so what leaves a block are links but for chance.
     """
     parts = F.ceil(F.col("size") / SIDE).cast("long")
     rows = (
-        members.join(reps, "id")
+        members.join(profiles, "id")
         .withColumn("part", F.pmod(F.xxhash64("id"), parts))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-        .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") <= F.col("other")).alias("left"), (F.col("part") >= F.col("other")).alias("right"), "band", "id", "comp", "n", "regs")
+        .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") <= F.col("other")).alias("left"), (F.col("part") >= F.col("other")).alias("right"), "band", "id", "comp", "n", "regs", "words")
     )
 
-    def pairs(rows):
-        left, right = [r for r in rows if r[3]], [r for r in rows if r[4]]
-        if not left or not right:
-            return []
-        side = lambda x: (np.array([r[6] for r in x]), np.array([r[7] for r in x]), np.array([r[8] for r in x]), _regs([r[9] for r in x]))
-        (ia, ca, na, ka), (ib, cb, nb, kb) = side(left), side(right)
-        band = rows[0][5]
-        ok = (ca[:, None] != cb[None, :]) & (100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :]))
-        if rows[0][1] == rows[0][2]:
-            ok &= ia[:, None] < ib[None, :]
-        if band:
-            ba, bb = setsketch.bands(ka)[:, :band], setsketch.bands(kb)[:, :band]
-            for k in range(band):
-                ok &= ba[:, None, k] != bb[None, :, k]
-        x, y = np.nonzero(ok)
-        found = []
-        for s in range(0, len(x), 4096):
-            p, q = x[s : s + 4096], y[s : s + 4096]
-            near = (ka[p] == kb[q]).sum(1) >= (least - 0.1) * setsketch.M
-            p, q = p[near], q[near]
-            if len(p):
-                good = setsketch.estimate(ka[p], kb[q], na[p], nb[q]) >= least
-                found += zip(np.minimum(ia[p], ib[q])[good].tolist(), np.maximum(ia[p], ib[q])[good].tolist())
-        return found
-
     def run(batches):
-        at, held = None, []
+        held = None
         for batch in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] != at:
-                    out += pairs(held) if held else []
-                    at, held = row[:3], []
-                held.append(row)
-            cols = list(zip(*out)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
-        cols = list(zip(*(pairs(held) if held else []))) or [[], []]
+            for s in range(0, batch.num_rows, 1024):
+                part = Rows.of(batch.slice(s, 1024))
+                held = part if held is None else held + part
+                at = held.groups().tolist()
+                out = [x for a, b in zip(at, at[1:]) for x in held.take(slice(a, b)).pairs(least, percent)]
+                held = held.take(slice(at[-1], None))
+                cols = list(zip(*out)) or [[], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+        cols = list(zip(*(held.pairs(least, percent) if held else []))) or [[], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
@@ -193,7 +229,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     labelled = members.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component", "pivot")
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    more = cut(crossing(labelled.join(mixed, "key"), sketched, least, percent), "near-crossing")
+    unsettled = cut(labelled.join(mixed, "key"), "near-unsettled")
+    own = cut(short_sets(only(texts, cut(unsettled.select("id").distinct(), "near-ids")), width), "near-short-sets")
+    more = cut(crossing(unsettled, own.join(sketched, "id"), least, percent), "near-crossing")
     more_links = cut(verified(more, texts, width, percent), "near-more")
     if not more_links.isEmpty():
         name = lambda x: F.coalesce(F.col(f"c{x}.component"), F.col(x)).alias(x)
