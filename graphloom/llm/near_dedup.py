@@ -7,10 +7,12 @@
    on their full sets.  Verified links give components.
 4. Buckets whose members are not yet in one component are finished exactly: all pairs of different components are
    compared on sketches and then on sets of 32-bit hashes inside blocks of bounded size, each pair once (in the first
-   band that both share), and only those that reach the threshold there leave a block and are verified.  So no link between components is lost to
-   the star, and pairs within a component are never emitted.
+   band that both share), and only those that reach the threshold there leave a block and are verified.  So no link
+   between components is lost to the star, and pairs within a component are never emitted; the bucket's largest component
+   meets the other members only, never itself.
 
-With 42 bands of 6 registers a pair at similarity 0.85 shares no bucket with a probability of 2e-9 (3e-6 at 0.8).  The
+Bands are as wide as the threshold allows: 36 of 7 registers at 0.85, where a pair at the threshold shares no bucket with
+a probability of 9e-7, and 42 of 6 registers at 0.8 (3e-6).  The
 estimate has a standard error of 0.02 to 0.03; pairs up to ``MARGIN`` below the threshold are verified.
 
 Null or empty texts have empty sets and are linked with nothing.  Rows with equal text fall together whatever their
@@ -31,7 +33,7 @@ from graphloom.llm.components import connected_components
 
 MARGIN = 0.11
 #: Members of one side of a block, pairs of one salt, and ids that may be broadcast (8 bytes each).
-SIDE, PAIRS, BROADCAST_IDS = 128, 32, 1_000_000
+SIDE, PAIRS, BROADCAST_IDS = 256, 32, 1_000_000
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -55,15 +57,16 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n long, digest binary, regs binary")
 
 
-def band_rows(reps: DataFrame) -> DataFrame:
-    """(id, band, key): BANDS rows for each representative."""
+def band_rows(reps: DataFrame, width: int) -> DataFrame:
+    """(id, band, key): a row for each band of ``width`` registers of each representative."""
+    each = setsketch.M // width
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
-                keys = setsketch.bands(_regs(part.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, setsketch.BANDS, dtype=np.int32), keys.ravel())], ["id", "keys"])
+                keys = setsketch.bands(_regs(part.column(1).to_pylist()), width)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, each, dtype=np.int32), keys.ravel())], ["id", "keys"])
 
     return reps.select("id", "regs").mapInArrow(run, "id long, keys array<long>").select("id", F.posexplode("keys").alias("band", "key"))
 
@@ -133,12 +136,12 @@ class Rows:
         self.parts = key, i, j, left, right, band, id_, comp, n, regs, keys, words
 
     @classmethod
-    def of(cls, batch: pa.RecordBatch) -> "Rows":
+    def of(cls, batch: pa.RecordBatch, width: int) -> "Rows":
         *plain, regs, words = batch.columns
         regs = _regs(regs.to_pylist())
         blobs = np.empty(len(regs), object)
         blobs[:] = words.to_pylist()
-        return cls(*(c.to_numpy(zero_copy_only=False) for c in plain), regs, setsketch.bands(regs), blobs)
+        return cls(*(c.to_numpy(zero_copy_only=False) for c in plain), regs, setsketch.bands(regs, width), blobs)
 
     def take(self, at) -> "Rows":
         return Rows(*(x[at] for x in self.parts))
@@ -175,17 +178,19 @@ class Rows:
         return found
 
 
-def crossing(members: DataFrame, profiles: DataFrame, least: float, percent: int) -> DataFrame:
+def crossing(members: DataFrame, profiles: DataFrame, least: float, percent: int, width: int) -> DataFrame:
     """Pairs of different components within a bucket that may reach the threshold, compared in blocks.
 
-    ``members`` has key, band, id, comp and size (rows of the bucket); ``profiles`` id, n, regs and words.  Sketches sort
-    out most pairs, short sets the rest, so what leaves a block are links but for chance.
+    ``members`` has key, band, id, comp, largest (the bucket's largest component), within and others (rows in it and not);
+    ``profiles`` id, n, regs and words.  Parts of the largest component, numbered last, meet parts of the others only.
+    Sketches sort out most pairs, short sets the rest, so what leaves a block are links but for chance.
     """
-    parts = F.ceil(F.col("size") / SIDE).cast("long")
+    count = lambda n: F.ceil(F.col(n) / SIDE).cast("long")
+    mine = F.col("comp") == F.col("largest")
     rows = (
         members.join(profiles, "id")
-        .withColumn("part", F.pmod(F.xxhash64("id"), parts))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+        .withColumn("part", F.when(mine, count("others") + F.pmod(F.xxhash64("id"), count("within"))).otherwise(F.pmod(F.xxhash64("id"), count("others"))))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count("others") - 1 + F.when(mine, 0).otherwise(count("within")))))
         .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") <= F.col("other")).alias("left"), (F.col("part") >= F.col("other")).alias("right"), "band", "id", "comp", "n", "regs", "words")
     )
 
@@ -193,7 +198,7 @@ def crossing(members: DataFrame, profiles: DataFrame, least: float, percent: int
         held = None
         for batch in batches:
             for s in range(0, batch.num_rows, 1024):
-                part = Rows.of(batch.slice(s, 1024))
+                part = Rows.of(batch.slice(s, 1024), width)
                 held = part if held is None else held + part
                 at = held.groups().tolist()
                 out = [x for a, b in zip(at, at[1:]) for x in held.take(slice(a, b)).pairs(least, percent)]
@@ -218,7 +223,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = marks.where("n > 0 and id is not null")
     reps = cut(sets.groupBy("digest").agg(F.min_by(F.struct("id", "n", "regs"), "id").alias("x")).select("x.id", "x.n", "x.regs", "digest"), "near-sets")
     sketched = reps.select("id", "n", "regs")
-    rows = band_rows(reps)
+    band = setsketch.band_rows(percent / 100)
+    rows = band_rows(reps, band)
     buckets = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = cut(rows.join(buckets, "key"), "near-buckets")
     texts = cut(only(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), cut(members.select("id").distinct(), "near-ids")).dropDuplicates(["id"]), "near-texts")
@@ -228,10 +234,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = cut(connected_components(links), "near-components")
 
     labelled = members.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component", "pivot")
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    shares = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows")).groupBy("key").agg(F.max(F.struct("rows", "comp")).alias("top"), F.sum("rows").alias("all"))
+    mixed = shares.where("all > top.rows").select("key", F.col("top.comp").alias("largest"), F.col("top.rows").alias("within"), (F.col("all") - F.col("top.rows")).alias("others"))
     unsettled = cut(labelled.join(mixed, "key"), "near-unsettled")
     own = cut(short_sets(only(texts, cut(unsettled.select("id").distinct(), "near-ids")), width), "near-short-sets")
-    more = cut(crossing(unsettled, own.join(sketched, "id"), least, percent), "near-crossing")
+    more = cut(crossing(unsettled, own.join(sketched, "id"), least, percent, band), "near-crossing")
     more_links = cut(verified(more, texts, width, percent), "near-more")
     if not more_links.isEmpty():
         name = lambda x: F.coalesce(F.col(f"c{x}.component"), F.col(x)).alias(x)

@@ -15,7 +15,8 @@ import numpy as np
 import xxhash
 
 M, B, A, TOP = 256, 1.001, 20.0, 65_535
-ROWS, BANDS = 6, 42
+#: A pair at the threshold may share no band with this probability.
+MISS = 1e-5
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Elements sketched at once.
 CHUNK = 150_000
@@ -87,13 +88,18 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def bands(regs: np.ndarray) -> np.ndarray:
-    """BANDS keys for each sketch, the band's number mixed in."""
-    out = np.empty((len(regs), BANDS), np.uint64)
-    for k in range(BANDS):
+def band_rows(similarity: float) -> int:
+    """The most registers a band can have for the threshold; more registers give fewer buckets of unlike sets."""
+    return max(r for r in range(1, 17) if r == 1 or (1 - similarity**r) ** (M // r) <= MISS)
+
+
+def bands(regs: np.ndarray, rows: int) -> np.ndarray:
+    """M // rows keys for each sketch, the band's number mixed in."""
+    out = np.empty((len(regs), M // rows), np.uint64)
+    for k in range(M // rows):
         key = np.full(len(regs), k + 1, np.uint64)
-        for r in range(ROWS):
-            key = mix(key * GOLD + regs[:, k * ROWS + r].astype(np.uint64))
+        for r in range(rows):
+            key = mix(key * GOLD + regs[:, k * rows + r].astype(np.uint64))
         out[:, k] = key
     return out.view(np.int64)
 
