@@ -4,7 +4,8 @@ A line's key is the line without white space at both ends, A-Z in lower case.  E
 keys as 128-bit hashes with their positions.  One pre-aggregated pass (combined before the shuffle, so a line that a
 third of all documents hold is no hot task) counts documents and finds the largest id for each hash; a second pass meets
 those hashes with (document, position) rows and returns, instead of text, a compressed bitmap of dropped lines for each
-document: 64-line words, without the words in which all lines stay.
+document: 64-line words, without the words in which all lines stay.  The shared hashes are broadcast if their count
+allows it; if not, both sides are dealt out by a salt as well, so the lines of one hash never meet in one task.
 
 Keys of at least ``min_chars`` code points found in at least ``min_docs`` documents lose all their lines but those in the
 largest id that holds it.  Null or empty text is one empty line.  Rows that repeat an id count as one document, and
@@ -16,9 +17,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import BLANKS, ascii_lower, text_or_empty
+from graphloom.llm.common import BLANKS, ascii_lower, cut, text_or_empty
 
 MIN_CHARS, MIN_DOCS = 40, 5
+#: Keys that may be broadcast (24 bytes each), and the parts that each key's lines are dealt into beyond that.
+BROADCAST_KEYS, SALTS = 1_000_000, 16
 
 
 def lines(text):
@@ -49,10 +52,14 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .where((F.col("rows") >= min_docs) & (F.col("keep_id") != F.col("low_id")))
         .select("h1", "h2", "keep_id")
     )
-    hits = (
-        keyed.select("id", F.posexplode("hashes").alias("pos", "h")).where(F.col("h").isNotNull()).select("id", "pos", "h.h1", "h.h2")
-        .join(spread, ["h1", "h2"]).where(F.col("id") != F.col("keep_id"))
-    )
+    spread = cut(spread, "line-keys")
+    rows = keyed.select("id", F.posexplode("hashes").alias("pos", "h")).where(F.col("h").isNotNull()).select("id", "pos", "h.h1", "h.h2")
+    if spread.count() <= BROADCAST_KEYS:
+        met = rows.join(F.broadcast(spread), ["h1", "h2"])
+    else:
+        salts = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = rows.withColumn("salt", F.pmod(F.xxhash64("id", "pos"), F.lit(SALTS)).cast("int")).join(salts, ["h1", "h2", "salt"])
+    hits = met.where(F.col("id") != F.col("keep_id"))
     by_word = hits.groupBy("id", F.shiftright("pos", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("bits"))
     return by_word.groupBy("id").agg(F.sum(F.bit_count("bits")).alias("n_dropped"), F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"))
 
