@@ -24,8 +24,8 @@ WIDE, WIDE_BITS, SUMS, LANE_BITS = 4, 40, 20, 20
 LANES = SUMS * 3
 #: One bit at the bottom of each of the three lanes of a sum.
 MASK = 1 | 1 << LANE_BITS | 1 << 2 * LANE_BITS
-#: Documents of a range that one task puts in order; range ends that may be broadcast.
-RANGE_ROWS, BROADCAST_ROWS = 4096, 100_000
+#: Documents of a range that one task puts in order, ranges that are put in order together, and range ends that may be broadcast.
+RANGE_ROWS, RANGES, BROADCAST_ROWS = 512, 4096, 100_000
 
 
 def paragraphs(text: Column) -> Column:
@@ -97,15 +97,18 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Each row's id and text, and the next row's id and text, by ascending id; the first follows the last.
 
     Rows are dealt into ranges of ids of about RANGE_ROWS rows; the order is made within each range, and each range also
-    gets a copy of the row that follows its last one.
+    gets a copy of the row that follows its last one.  Ranges are put in order by groups of RANGES.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(F.col(text_col)).alias("text"))
     counted = rows.agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("lo"), F.max("id").alias("hi")).first()
     width = max(1, ((counted["hi"] or 0) - (counted["lo"] or 0) + 1) * RANGE_ROWS // max(1, counted["rows"]))
     ranged = rows.withColumn("bucket", F.coalesce(F.floor(F.col("id") / width), F.lit(-(1 << 62))).cast("long"))
     ends = cut(ranged.select("id", "bucket").groupBy("bucket").agg(F.min("id").alias("first")), "fingerprint-ranges")
-    order = Window.orderBy(F.asc("bucket"))  # one row for each range of thousands of documents
-    before = ends.select(F.coalesce(F.lag("bucket").over(order), F.last("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("to"), F.col("first").alias("first_id"))
+    before = ends.select("bucket", "first", F.floor(F.col("bucket") / RANGES).alias("over")).withColumn("prior", F.lag("bucket").over(Window.partitionBy("over").orderBy("bucket")))
+    order = Window.orderBy("over")  # one row for each two million documents
+    tops = ends.groupBy(F.floor(F.col("bucket") / RANGES).alias("over")).agg(F.max("bucket").alias("top"))
+    tops = tops.select("over", F.coalesce(F.lag("top").over(order), F.last("top").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("top"))
+    before = before.join(tops, "over").select(F.coalesce("prior", "top").alias("to"), F.col("first").alias("first_id"))
     small = ends.count() <= BROADCAST_ROWS
     before = before.where("first_id is not null")
     copies = ranged.join(F.broadcast(before) if small else before, F.col("id") == F.col("first_id")).groupBy("to", "id").agg(F.first("text").alias("text")).select("id", "text", F.col("to").alias("bucket"), F.lit(True).alias("copy"))
