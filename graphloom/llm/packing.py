@@ -19,6 +19,7 @@ import re
 import zlib
 from array import array
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from graphloom.llm.common import cut
 
 TOKENIZER, LENGTH, END_ID = "word_bpe_49k.json", 4096, 1
 OPEN_BINS, BLOCK = 8192, 16_384
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 64
 #: Texts of these characters alone need no Unicode normalisation and lower-case one to one.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ſ]*")
 LETTERS, NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-ſ", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -60,8 +61,7 @@ class WordIds:
         self.merges = Tokenizer(self.lib.model)
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.letters = byte_letters()
-        self.known: dict[str, bytes] = {}  # by what stands between white space
-        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # by word, and by what stands between white space
 
     def library(self, text: str) -> bytes:
         return np.asarray(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -75,20 +75,22 @@ class WordIds:
         split = [t.lower().split() if "<|" not in t and PLAIN.fullmatch(t) else None for t in texts]
         if len(self.known) > CACHE_ENTRIES:
             self.known = {}
-        if len(self.words) > CACHE_ENTRIES:
-            self.words = {}
-        known, words = self.known, self.words
-        new = {w: WORDS.findall(w) for w in set().union(*(w for w in split if w)).difference(known)}
-        if missing := list(set().union(*new.values()).difference(words)):
-            words.update(zip(missing, self.merged(missing)))
-        known.update((w, b"".join([words[x] for x in parts])) for w, parts in new.items())
-        out = [self.library(t) if w is None else b"".join(map(known.__getitem__, w)) for t, w in zip(texts, split)]
-        for w, parts in new.items():
+        known = self.known
+        found = [w and list(map(known.get, w)) for w in split]  # one lookup a word; the table is larger than a CPU's cache
+        gaps = [[i for i, x in enumerate(f) if x is None] if f else () for f in found]
+        new = {w[i] for w, g in zip(split, gaps) for i in g}
+        parts = {w: WORDS.findall(w) for w in new if not w.isalpha()}  # words of letters alone are not cut
+        missing = list(set(filterfalse(known.__contains__, chain.from_iterable(parts.values()))).union(w for w in new if w.isalpha()))
+        if missing:
+            known.update(zip(missing, self.merged(missing)))
+        known.update((w, b"".join([known[x] for x in p])) for w, p in parts.items() if w not in known)
+        for w, f, g in zip(split, found, gaps):
+            for i in g:
+                f[i] = known[w[i]]
+        out = [self.library(t) if f is None else b"".join(f) for t, f in zip(texts, found)]
+        for w in {*new, *missing}:
             if len(w) > CACHE_CHARS:
-                del known[w]
-                for x in parts:
-                    if len(x) > CACHE_CHARS:
-                        words.pop(x, None)
+                known.pop(w, None)
         return out
 
     def encode(self, text: str) -> bytes:
