@@ -73,7 +73,8 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     shared = state.where("group_size > 1").select("digest", "keep_id")
     small = shared.count() <= BROADCAST_DIGESTS
     hits = cut(docs.withColumn("digest", digest(F.col("norm"))).join(F.broadcast(shared) if small else shared, "digest"), "exact-dedup-hits")
-    stays = hits.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("keep_norm"))
+    # written first: a join that shares no shuffle with an aggregation can split the rows of one digest
+    stays = cut(hits.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("keep_norm")), "exact-dedup-stays")
     other = cut(hits.join(stays, "digest").where(F.col("norm") != F.col("keep_norm")).select("digest", "id", "norm"), "exact-dedup-other")
     if not other.isEmpty():  # equal digests of different texts
         own = other.groupBy("digest", "norm").agg(F.min("id").alias("own_keep"), F.count(F.lit(1)).alias("own_size")).select("digest", F.sha2("norm", 256).alias("text_sha256"), "own_keep", "own_size")
