@@ -6,10 +6,11 @@ known licence texts in an equi-join; the known table is a constant of this modul
 
 What is looked up is an entire text: the document, each of its paragraphs (between empty lines) and each of its lines.
 So a notice on its own line is found as well as a licence that fills a file.  A unit longer than the longest known text, or
-one that begins with a word that no known text begins with, cannot match and is not hashed; both are exact tests.
+one that begins with a word that no known text begins with (words are of letters and digits, as in the canonical form),
+cannot match and is not hashed; both are exact tests.
 
-Null or empty text has an empty canonical form and no licence.  Repeated rows are scanned each for itself (rows that
-share an id share their findings); an empty table gives no rows.  Other columns are ignored and dropped.
+Null or empty text has an empty canonical form and no licence.  Rows that repeat an id, and rows with a null id, are
+scanned each for itself; an empty table gives no rows.  Other columns are ignored and dropped.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ SPELLINGS = {
     "programme": "program", "realise": "realize", "recognise": "recognize", "signalling": "signaling", "sublicence": "sublicense", "utilisation": "utilization", "whilst": "while", "wilful": "willful", "https": "http",
 }
 
-#: Full texts of short public licences, without their copyright lines.
+#: Full texts of short public licences, without their copyright lines, and of the notices that the
+#: Apache, GPL and MPL licences ask files to carry (those licences themselves are not here).
 TEXTS = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -41,6 +43,40 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
     "0BSD": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
 
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>""",
     "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 
 http://www.apache.org/licenses/LICENSE-2.0
@@ -117,17 +153,17 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     firsts += sorted(k for k, v in SPELLINGS.items() if v in firsts)
     slack = 4 * longest  # punctuation and blanks of a unit that is longer than its canonical form
     lookup = F.broadcast(spark.createDataFrame([(r["digest"], r["license"]) for r in table], "digest string, license string"))
-    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(F.col(text_col)).alias("text")).withColumn("plain", without_notices(F.col("text")))
+    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(F.col(text_col)).alias("text")).select("id", F.xxhash64("text").alias("hash"), without_notices(F.col("text")).alias("plain"))
     units = F.array_distinct(F.concat(F.split("plain", "\n"), F.filter(paragraphs(F.col("plain")), lambda p: p.contains("\n"))))
-    parts = texts.select("id", F.filter(units, lambda u: u.rlike("^[^a-z0-9]*(" + "|".join(firsts) + ")\\b")).alias("units")).where(F.size("units") > 0)
+    parts = texts.select("id", "hash", F.filter(units, lambda u: u.rlike("^[^a-z0-9]*(" + "|".join(firsts) + ")(?![a-z0-9])")).alias("units")).where(F.size("units") > 0)
     hits = (
-        parts.select("id", F.explode("units").alias("unit"))
-        .select("id", words_only(F.col("unit")).alias("unit")).where(F.char_length("unit") <= slack)
-        .select("id", F.sha2(spelled(F.col("unit")), 256).alias("digest")).join(lookup, "digest")
-        .groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("licenses"), F.countDistinct("digest").alias("n_matches"))
+        parts.select("id", "hash", F.explode("units").alias("unit"))
+        .select("id", "hash", words_only(F.col("unit")).alias("unit")).where(F.char_length("unit") <= slack)
+        .select("id", "hash", F.sha2(spelled(F.col("unit")), 256).alias("digest")).join(lookup, "digest")
+        .groupBy(F.col("id").alias("__id"), F.col("hash").alias("__hash")).agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("licenses"), F.countDistinct("digest").alias("n_matches"))
     )
-    whole = texts.select("id", F.sha2(spelled(words_only(F.col("plain"))), 256).alias("canonical_sha256")).join(lookup.withColumnRenamed("digest", "canonical_sha256"), "canonical_sha256", "left")
-    return whole.join(hits, "id", "left")
+    whole = texts.select("id", "hash", F.sha2(spelled(words_only(F.col("plain"))), 256).alias("canonical_sha256")).join(lookup.withColumnRenamed("digest", "canonical_sha256"), "canonical_sha256", "left")
+    return whole.join(hits, whole["id"].eqNullSafe(F.col("__id")) & (whole["hash"] == F.col("__hash")), "left")
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

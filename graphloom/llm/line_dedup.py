@@ -1,15 +1,17 @@
 """Removal of long lines that many documents share.
 
 A line's key is the line without white space at both ends, A-Z in lower case.  Each document gives its distinct long
-keys as 128-bit hashes with their positions.  One pre-aggregated pass (combined before the shuffle, so a line that a
-third of all documents hold is no hot task) counts documents and finds the largest id for each hash; a second pass meets
+keys as 128-bit hashes with their positions.  One pass makes (hash, document) distinct and then, combined before the
+second shuffle so that a line that a third of all documents hold is no hot task, counts documents and finds the largest
+id for each hash; a second pass meets
 those hashes with (document, position) rows and returns, instead of text, a compressed bitmap of dropped lines for each
 document: 64-line words, without the words in which all lines stay.  The shared hashes are broadcast if their count
 allows it; if not, both sides are dealt out by a salt as well, so the lines of one hash never meet in one task.
 
 Keys of at least ``min_chars`` code points found in at least ``min_docs`` documents lose all their lines but those in the
 largest id that holds it.  Null or empty text is one empty line.  Rows that repeat an id count as one document, and
-each of those rows is cut alike by its own lines.  An empty table gives no rows.
+each of those rows is cut alike by its own lines.  A row with a null id is no document: it is not counted and keeps all
+its lines.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,39 +31,40 @@ def lines(text):
 
 
 def long_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """Id and, for each line, the two hashes of its key, or null where the key is short."""
+    """Id, hash of the text and, for each line, the two hashes of its key, or null where the key is short."""
 
     def hashes(key):
         return F.when(F.char_length(key) >= min_chars, F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")))
 
     keys = F.transform(lines(F.col(text_col)), lambda x: F.btrim(ascii_lower(x), F.lit(BLANKS)))
-    return docs.select(F.col(id_col).alias("id"), keys.alias("keys")).select("id", F.transform("keys", hashes).alias("hashes"))
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), keys.alias("keys")).select("id", "text_hash", F.transform("keys", hashes).alias("hashes"))
 
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Id, n_dropped and ``words``: array of (word, bits), bit b of word w set when line 64 w + b is dropped.
+    """Id, text_hash, n_dropped and ``words``: array of (word, bits), bit b of word w set when line 64 w + b is dropped.
 
-    Only documents that lose lines are listed.
+    Only rows that lose lines are listed, equal rows once; the hash tells rows that share an id apart.
     """
     keyed = long_keys(docs, id_col, text_col, min_chars)
     own = F.array_distinct(F.filter("hashes", lambda h: h.isNotNull()))
     spread = (
-        keyed.select("id", F.explode(own).alias("h"))
-        .groupBy("h.h1", "h.h2")
-        .agg(F.count(F.lit(1)).alias("rows"), F.max("id").alias("keep_id"), F.min("id").alias("low_id"))
-        .where((F.col("rows") >= min_docs) & (F.col("keep_id") != F.col("low_id")))
+        keyed.where("id is not null").select("id", F.explode(own).alias("h"))
+        .select("h.h1", "h.h2", "id").distinct()  # rows that share an id are one document
+        .groupBy("h1", "h2")
+        .agg(F.count(F.lit(1)).alias("docs"), F.max("id").alias("keep_id"))
+        .where(F.col("docs") >= min_docs)
         .select("h1", "h2", "keep_id")
-    )
+    )
     spread = cut(spread, "line-keys")
-    rows = keyed.select("id", F.posexplode("hashes").alias("pos", "h")).where(F.col("h").isNotNull()).select("id", "pos", "h.h1", "h.h2")
+    rows = keyed.select("id", "text_hash", F.posexplode("hashes").alias("pos", "h")).where(F.col("h").isNotNull()).select("id", "text_hash", "pos", "h.h1", "h.h2")
     if spread.count() <= BROADCAST_KEYS:
         met = rows.join(F.broadcast(spread), ["h1", "h2"])
     else:
         salts = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         met = rows.withColumn("salt", F.pmod(F.xxhash64("id", "pos"), F.lit(SALTS)).cast("int")).join(salts, ["h1", "h2", "salt"])
     hits = met.where(F.col("id") != F.col("keep_id"))
-    by_word = hits.groupBy("id", F.shiftright("pos", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("bits"))
-    return by_word.groupBy("id").agg(F.sum(F.bit_count("bits")).alias("n_dropped"), F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    by_word = hits.groupBy("id", "text_hash", F.shiftright("pos", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("bits"))
+    return by_word.groupBy("id", "text_hash").agg(F.sum(F.bit_count("bits")).alias("n_dropped"), F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"))
 
 
 def dropped_positions(words):
@@ -70,16 +73,16 @@ def dropped_positions(words):
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, the text without the dropped lines, and __n_lines, __n_dropped."""
-    found = bitmaps.select(F.col("id").alias("__id"), F.col("n_dropped").alias("__n_dropped"), dropped_positions(F.col("words")).alias("__drop"))
+    found = bitmaps.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("n_dropped").alias("__n_dropped"), dropped_positions(F.col("words")).alias("__drop"))
     all_lines = lines(F.col(text_col))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop")), lambda i: F.get("__lines", i))
     return (
-        docs.join(found, docs[id_col] == F.col("__id"), "left")
+        docs.join(found, (docs[id_col] == F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left")
         .withColumn("__lines", all_lines)
         .withColumn(text_col, F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
         .withColumn("__n_lines", F.size("__lines").cast("long"))
         .withColumn("__n_dropped", F.coalesce("__n_dropped", F.lit(0)).cast("long"))
-        .drop("__id", "__drop", "__lines")
+        .drop("__id", "__hash", "__drop", "__lines")
     )
 
 

@@ -6,17 +6,19 @@
    A pair's similarity is estimated from both sketches by maximum likelihood; clear misses go; the others are verified
    on their full sets.  Verified links give components.
 4. Buckets whose members are not yet in one component are finished exactly: all pairs of different components are
-   compared on sketches and then on sets of 32-bit hashes inside blocks of bounded size, each pair once (in the first
-   band that both share), and only those that reach the threshold there leave a block and are verified.  So no link
-   between components is lost to the star, and pairs within a component are never emitted; the bucket's largest component
-   meets the other members only, never itself.
+   compared on sketches and then on their full sets inside blocks of bounded rows and bytes, each pair once (in the first
+   band that both share).  A block joins components as it finds links, skips pairs that are joined already, and gives out
+   one link for each join, so fewer links leave it than it has members; the bucket's largest component meets the other
+   members only, never itself.
 
 Bands are as wide as the threshold allows: 36 of 7 registers at 0.85, where a pair at the threshold shares no bucket with
-a probability of 9e-7, and 42 of 6 registers at 0.8 (3e-6).  The
-estimate has a standard error of 0.02 to 0.03; pairs up to ``MARGIN`` below the threshold are verified.
+a probability of 9e-7, and 42 of 6 registers at 0.8 (3e-6).  The estimate has a standard error of 0.02 to 0.03; pairs up
+to ``MARGIN`` below the threshold are verified.  A full set holds the 64-bit hash of each distinct shingle: two different
+shingles of a pair of sets of a million fall together with a probability of 5e-8.
 
 Null or empty texts have empty sets and are linked with nothing.  Rows with equal text fall together whatever their
-ids; rows with a null id keep a null component.  An empty table gives no rows.  The report drops other columns; the
+ids; rows with a null id keep a null component.  Rows that share an id are one document: a link of one of its texts is a
+link of the id, each row's component is that of its own set, and the filter keeps or drops all of them.  An empty table gives no rows.  The report drops other columns; the
 filter keeps them.
 """
 
@@ -28,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import setsketch
-from graphloom.llm.common import cut
+from graphloom.llm.common import cut, drop, small_batches, text_groups
 from graphloom.llm.components import connected_components
 
 MARGIN = 0.11
-#: Members of one side of a block, pairs of one salt, and ids that may be broadcast (8 bytes each).
-SIDE, PAIRS, BROADCAST_IDS = 256, 32, 1_000_000
+#: Members of one side of a block and shingles in them, pairs of one salt, and ids that may be broadcast (8 bytes each).
+SIDE, SIDE_SHINGLES, PAIRS, BROADCAST_IDS = 256, 1_000_000, 32, 1_000_000
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -41,9 +43,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                sets = [setsketch.shingles(t, width) for t in part.column(1).to_pylist()]
+            for part, texts in text_groups(b, 1):
+                sets = [setsketch.shingles(t, width) for t in texts]
                 digests = [setsketch.digest(s) if len(s) else None for s in sets]
                 place: dict[bytes, int] = {}
                 new = []
@@ -90,6 +91,12 @@ def likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
+def reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets are similar enough."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold.
 
@@ -101,16 +108,16 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     rest = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "text")
 
     def run(batches):
-        at, head = None, None
+        at, own = None, []
         for batch in batches:
             out = []
-            for a, salt, b, text in zip(*(c.to_pylist() for c in batch.columns)):
-                s = setsketch.shingles(text, width)
-                if b is None:
-                    at, head = (a, salt), s
-                elif at == (a, salt):
-                    common = len(np.intersect1d(head, s, assume_unique=True))
-                    if 100 * common >= percent * (len(head) + len(s) - common):
+            for part, texts_ in text_groups(batch, 3):
+                for a, salt, b, text in zip(*(c.to_pylist() for c in part.columns[:3]), texts_):
+                    s = setsketch.shingles(text, width)
+                    if b is None:
+                        own = [*own, s] if at == (a, salt) else [s]
+                        at = (a, salt)
+                    elif at == (a, salt) and any(reaches(x, s, percent) for x in own):
                         out.append((a, b))
             cols = list(zip(*out)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
@@ -118,15 +125,16 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return heads.unionByName(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b")).mapInArrow(run, "a long, b long")
 
 
-def short_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(id, words): the set with hashes cut to 32 bits, sorted; chance can make sets look more alike, never less."""
+def full_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(id, n, digest, words): the sorted 64-bit hashes of the set, its size and its digest."""
 
     def run(batches):
         for b in batches:
-            sets = [np.unique((setsketch.shingles(t, width) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["id", "words"])
+            for part, own in text_groups(b, 1):
+                sets = [setsketch.shingles(t, width) for t in own]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(setsketch.digest, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "digest", "words"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, words binary")
+    return texts.select("id", "text").mapInArrow(run, "id long, n long, digest binary, words binary")
 
 
 class Rows:
@@ -154,15 +162,24 @@ class Rows:
         key, i, j = self.parts[:3]
         return np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
 
-    def pairs(self, least: float, percent: int) -> list[tuple[int, int]]:
-        """Of one group: pairs of different components that may reach the threshold and shared no earlier band."""
+    def links(self, least: float, percent: int) -> list[tuple[int, int]]:
+        """Of one group: verified pairs that join different components, one for each join.
+
+        A pair that shared an earlier band is left to that band's group.
+        """
         key, i, j, left, right, band, id_, comp, n, regs, keys, words = self.parts
         x, y = np.flatnonzero(left), np.flatnonzero(right)
         ok = (comp[x][:, None] != comp[y][None, :]) & (100 * np.minimum(n[x][:, None], n[y][None, :]) >= percent * np.maximum(n[x][:, None], n[y][None, :]))
         if i[0] == j[0]:
             ok &= id_[x][:, None] < id_[y][None, :]
         p, q = np.nonzero(ok)
-        found, known = [], {}
+        found, over = [], {}
+
+        def root(c):
+            while c in over:
+                c = over[c]
+            return c
+
         for s in range(0, len(p), 4096):
             a, b = x[p[s : s + 4096]], y[q[s : s + 4096]]
             near = (regs[a] == regs[b]).sum(1) >= (least - 0.1) * setsketch.M
@@ -171,29 +188,32 @@ class Rows:
             if len(a):
                 good = setsketch.estimate(regs[a], regs[b], n[a], n[b]) >= least
                 for u, v in zip(a[good].tolist(), b[good].tolist()):
-                    su, sv = (known[k] if k in known else known.setdefault(k, np.frombuffer(words[k], np.uint32)) for k in (u, v))
-                    common = len(np.intersect1d(su, sv, assume_unique=True)) + 2 * max(n[u] - len(su), n[v] - len(sv))
-                    if 100 * common >= percent * (n[u] + n[v] - common):
+                    c, d = root(comp[u]), root(comp[v])
+                    if c != d and reaches(np.frombuffer(words[u], np.uint64), np.frombuffer(words[v], np.uint64), percent):
+                        over[max(c, d)] = min(c, d)
                         found.append((min(id_[u], id_[v]), max(id_[u], id_[v])))
         return found
 
 
 def crossing(members: DataFrame, profiles: DataFrame, least: float, percent: int, width: int) -> DataFrame:
-    """Pairs of different components within a bucket that may reach the threshold, compared in blocks.
+    """Links between different components within a bucket, compared in blocks; each joins two components of its block.
 
-    ``members`` has key, band, id, comp, largest (the bucket's largest component), within and others (rows in it and not);
-    ``profiles`` id, n, regs and words.  Parts of the largest component, numbered last, meet parts of the others only.
-    Sketches sort out most pairs, short sets the rest, so what leaves a block are links but for chance.
+    ``members`` has key, band, id, comp, largest (the bucket's largest component), and the number of parts that it
+    (within) and the other members (others) are dealt into; ``profiles`` id, n, regs and words.  Parts of the largest
+    component, numbered last, meet parts of the others only.
     """
-    count = lambda n: F.ceil(F.col(n) / SIDE).cast("long")
     mine = F.col("comp") == F.col("largest")
     rows = (
         members.join(profiles, "id")
-        .withColumn("part", F.when(mine, count("others") + F.pmod(F.xxhash64("id"), count("within"))).otherwise(F.pmod(F.xxhash64("id"), count("others"))))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count("others") - 1 + F.when(mine, 0).otherwise(count("within")))))
+        .withColumn("part", F.when(mine, F.col("others") + F.pmod(F.xxhash64("id"), F.col("within"))).otherwise(F.pmod(F.xxhash64("id"), F.col("others"))))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1 + F.when(mine, 0).otherwise(F.col("within")))))
         .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") <= F.col("other")).alias("left"), (F.col("part") >= F.col("other")).alias("right"), "band", "id", "comp", "n", "regs", "words")
     )
 
+    def batch_of(found):
+        cols = list(zip(*found)) or [[], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+
     def run(batches):
         held = None
         for batch in batches:
@@ -201,12 +221,9 @@ def crossing(members: DataFrame, profiles: DataFrame, least: float, percent: int
                 part = Rows.of(batch.slice(s, 1024), width)
                 held = part if held is None else held + part
                 at = held.groups().tolist()
-                out = [x for a, b in zip(at, at[1:]) for x in held.take(slice(a, b)).pairs(least, percent)]
+                yield batch_of([x for a, b in zip(at, at[1:]) for x in held.take(slice(a, b)).links(least, percent)])
                 held = held.take(slice(at[-1], None))
-                cols = list(zip(*out)) or [[], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
-        cols = list(zip(*(held.pairs(least, percent) if held else []))) or [[], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+        yield batch_of(held.links(least, percent) if held else [])
 
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
@@ -218,28 +235,39 @@ def only(df: DataFrame, ids: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Per row: id, n_shingles, component_id, kept."""
+    small_batches(docs.sparkSession)
     least = percent / 100 - MARGIN
     marks = cut(sketches(docs, id_col, text_col, width), "near-sketches")
     sets = marks.where("n > 0 and id is not null")
     reps = cut(sets.groupBy("digest").agg(F.min_by(F.struct("id", "n", "regs"), "id").alias("x")).select("x.id", "x.n", "x.regs", "digest"), "near-sets")
     sketched = reps.select("id", "n", "regs")
     band = setsketch.band_rows(percent / 100)
-    rows = band_rows(reps, band)
-    buckets = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    # bands are read twice, and buckets are written before they meet them: a join that shares no shuffle with an
+    # aggregation can split a hot bucket
+    rows = cut(band_rows(reps, band), "near-bands")
+    buckets = cut(rows.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "pivot"), "near-heads")
     members = cut(rows.join(buckets, "key"), "near-buckets")
-    texts = cut(only(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), cut(members.select("id").distinct(), "near-ids")).dropDuplicates(["id"]), "near-texts")
+    drop(rows, buckets)
+    ids = cut(members.select("id").distinct(), "near-ids")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"))
+    texts = cut(only(texts, ids).dropDuplicates(["id", "hash"]).select("id", "text"), "near-texts")
 
     star = cut(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "near-star")
-    links = cut(verified(cut(likely(star, sketched, least), "near-likely"), texts, width, percent), "near-links")
+    close = cut(likely(star, sketched, least), "near-likely")
+    links = cut(verified(close, texts, width, percent), "near-links")
+    drop(star, close, ids)
     comps = cut(connected_components(links), "near-components")
 
     labelled = members.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component", "pivot")
-    shares = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows")).groupBy("key").agg(F.max(F.struct("rows", "comp")).alias("top"), F.sum("rows").alias("all"))
-    mixed = shares.where("all > top.rows").select("key", F.col("top.comp").alias("largest"), F.col("top.rows").alias("within"), (F.col("all") - F.col("top.rows")).alias("others"))
-    unsettled = cut(labelled.join(mixed, "key"), "near-unsettled")
-    own = cut(short_sets(only(texts, cut(unsettled.select("id").distinct(), "near-ids")), width), "near-short-sets")
-    more = cut(crossing(unsettled, own.join(sketched, "id"), least, percent, band), "near-crossing")
-    more_links = cut(verified(more, texts, width, percent), "near-more")
+    sized = labelled.join(reps.groupBy("id").agg(F.max("n").alias("n")), "id")
+    shares = sized.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+    shares = shares.groupBy("key").agg(F.max(F.struct("rows", "comp", "shingles")).alias("top"), F.sum("rows").alias("all"), F.sum("shingles").alias("all_shingles")).where("all > top.rows")
+    parts = lambda rows, shingles: F.greatest(F.ceil(rows / SIDE), F.ceil(shingles / SIDE_SHINGLES)).cast("long")
+    mixed = shares.select("key", F.col("top.comp").alias("largest"), parts(F.col("top.rows"), F.col("top.shingles")).alias("within"), parts(F.col("all") - F.col("top.rows"), F.col("all_shingles") - F.col("top.shingles")).alias("others"))
+    unsettled = cut(labelled.join(cut(mixed, "near-mixed"), "key"), "near-unsettled")
+    own = cut(full_sets(only(texts, cut(unsettled.select("id").distinct(), "near-ids")), width).join(reps.select("id", "digest", "regs"), ["id", "digest"]).select("id", "n", "regs", "words"), "near-full-sets")
+    more_links = cut(crossing(unsettled, own, least, percent, band), "near-more")
+    drop(members, texts, unsettled, own)
     if not more_links.isEmpty():
         name = lambda x: F.coalesce(F.col(f"c{x}.component"), F.col(x)).alias(x)
         joined = more_links.join(comps.alias("ca"), F.col("a") == F.col("ca.id"), "left").join(comps.alias("cb"), F.col("b") == F.col("cb.id"), "left").select(name("a"), name("b"))

@@ -1,15 +1,16 @@
 """Quality of texts by a byte-level convolutional network in numpy.
 
 A text is its UTF-8 bytes, cut into chunks of 64 bytes that overlap by half and cover all of it.  Learned filters of four
-bytes (stride two) run over the bytes; their rectified responses are averaged in each chunk.  A second group of input
-channels says where a byte equals the one 1 to 32 places back, which shows stuttering.  A hidden layer reads each chunk,
-its units are max-pooled over the document's chunks, and one logistic unit combines them into the probability of label 1.
+bytes (stride two) run over the bytes; their rectified responses are averaged in each chunk.  A hidden layer reads each
+chunk, its units are max-pooled over the document's chunks, and one logistic unit combines them into the probability of
+label 1.
 
-The network is trained on the driver from at most ``SAMPLE`` labelled rows of each class (those with the lowest hash of
-the id, never held-out ones), of each at most ``WINDOWS`` windows of ``WINDOW`` bytes spread evenly over the text.
-Scoring reads whole texts.  Ids, languages and sources are never inputs.
+The network is trained on the driver from at most ``SAMPLE`` labelled rows of each class: those with the lowest hash of
+the id, never held-out ones, and among them those of at most ``SAMPLE_BYTES`` bytes, each of them whole.  Scoring reads
+whole texts of any length.  Ids, languages and sources are never inputs.
 
-Null counts as empty; an empty text is one chunk of padding and gets a score like any other.  Without usable labels each
+Null counts as empty; an empty text is one chunk of padding and gets a score like any other.  NUL bytes count as padding.
+A null id is scored like any other and is never held out.  Without usable labels each
 score is 0.5.  Repeated rows are scored each for itself; an empty table gives no rows.  The report drops other
 columns; the filter keeps them.
 """
@@ -21,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK, LAGS, FILTERS, HIDDEN = 32, 32, 8, 24
-SAMPLE, WINDOWS, WINDOW = 1500, 4, 512
-EPOCHS, BATCH, RATE = 4, 128, 0.01
+from graphloom.llm.common import small_batches, text_groups
+
+BLOCK, FILTERS, HIDDEN = 32, 16, 32
+SAMPLE, SAMPLE_BYTES = 1500, 1 << 16
+EPOCHS, BATCH, RATE = 8, 128, 0.01
 THRESHOLD = 0.3
 #: Bytes scored at once.
 GROUP_BYTES = 1 << 20
@@ -34,10 +37,9 @@ class Net:
 
     def __init__(self, seed: int = 7):
         r = np.random.default_rng(seed)
-        n_in = FILTERS + LAGS + 1
         self.p = {
             "t": r.normal(0, 0.3, (4, 256, FILTERS)).astype(np.float32), "c": np.zeros(FILTERS, np.float32),
-            "w": r.normal(0, n_in**-0.5, (n_in, HIDDEN)).astype(np.float32), "b": np.zeros(HIDDEN, np.float32),
+            "w": r.normal(0, FILTERS**-0.5, (FILTERS, HIDDEN)).astype(np.float32), "b": np.zeros(HIDDEN, np.float32),
             "v": r.normal(0, HIDDEN**-0.5, HIDDEN).astype(np.float32), "a": np.zeros(1, np.float32),
         }
 
@@ -52,22 +54,9 @@ class Net:
             x[at : at + len(t)] = np.frombuffer(t, np.uint8)
         return x, starts
 
-    def features(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes and lag matches of each block."""
-        real = x != 0
-        size = real.reshape(-1, BLOCK).sum(1, dtype=np.float32)
-        match = np.zeros((LAGS, len(size)), np.float32)
-        hit = np.zeros(len(x), bool)
-        for lag in range(1, LAGS + 1):
-            np.equal(x[lag:], x[:-lag], out=hit[lag:])
-            hit[:lag] = False
-            hit &= real
-            match[lag - 1] = hit.reshape(-1, BLOCK).sum(1, dtype=np.uint8)
-        return size, match.T
-
     def forward(self, x: np.ndarray, starts: np.ndarray, train: bool = False):
         p = self.p
-        size, match = self.features(x)
+        size = (x != 0).reshape(-1, BLOCK).sum(1, dtype=np.float32)
         pairs = x.astype(np.uint16)[:-1] << 8
         pairs = np.append(pairs | x[1:], np.uint16(0))
         first, second = pairs[0::2], np.append(pairs[2::2], np.uint16(0))
@@ -80,8 +69,7 @@ class Net:
         conv = h.reshape(-1, BLOCK // 2, FILTERS).sum(1)
         chunk = lambda y: y[:-1] + y[1:]
         n = np.maximum(chunk(size), 8)[:, None]
-        z = np.concatenate([2 * chunk(conv) / n, chunk(match) / n], 1)
-        z = np.concatenate([z, z[:, FILTERS + 1 :].max(1, keepdims=True)], 1)
+        z = 2 * chunk(conv) / n
         g = np.maximum(z @ p["w"] + p["b"], 0)
         ends = np.append(starts[1:], len(size))
         # the chunk of a text's last block and the next one's zeros belongs to no text
@@ -101,7 +89,7 @@ class Net:
             top = g[s:e].argmax(0) + s
             dg[top, np.arange(HIDDEN)] = dpool[i] * (pool[i] > 0)
         out["w"], out["b"] = z.T @ dg, dg.sum(0)
-        dz = 2 * (dg @ p["w"].T)[:, :FILTERS] / n
+        dz = 2 * (dg @ p["w"].T) / n
         dconv = np.zeros((len(h) // (BLOCK // 2), FILTERS), np.float32)
         dconv[:-1] += dz
         dconv[1:] += dz
@@ -145,23 +133,6 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def windows(docs: DataFrame) -> DataFrame:
-    """(text, label) to (windows, label): evenly spread windows of each text's bytes."""
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for t in b.column(0).to_pylist():
-                t = (t or "").encode("utf-8", "surrogatepass")
-                if len(t) > WINDOWS * WINDOW:
-                    gap = (len(t) - WINDOW) // (WINDOWS - 1)
-                    t = b"".join(t[k * gap : k * gap + WINDOW] for k in range(WINDOWS))
-                out.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), b.column(1), b.column(2)], ["cut", "label", "hash"])
-
-    return docs.mapInArrow(run, "cut binary, label int, hash long")
-
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Net | None:
     """A network fitted on a bounded sample of the labelled rows that are not held out; None without both classes."""
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), F.xxhash64(id_col).alias("hash")).where(~held_out(F.col("id")) & F.col("id").isNotNull() & F.col("label").isin(0, 1))
@@ -169,23 +140,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for k in (0, 1):
         part = usable.where(F.col("label") == k).orderBy("hash", "id").limit(sample)
         some = part if some is None else some.unionByName(part)
-    rows = windows(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "id").select("text", "label", "hash")).collect()  # at most 2 * sample rows of 2 kB
-    rows.sort(key=lambda r: (r["hash"], r["label"]))
-    target = np.array([r["label"] for r in rows])
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    rows = texts.join(F.broadcast(some), "id").select("text", "label", "hash").toLocalIterator()  # at most 2 * sample rows of SAMPLE_BYTES
+    rows = sorted((r["hash"], r["label"], r["text"].encode("utf-8", "surrogatepass")) for r in rows)
+    target = np.array([label for _, label, _ in rows])
     if len(set(target.tolist())) < 2:
         return None
-    return Net().fit([bytes(r["cut"]) for r in rows], target)
+    return Net().fit([t for _, _, t in rows], target)
 
 
 def scores(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of each row, over its whole text."""
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
+            for part, own in text_groups(b, 1):
+                texts = [(t or "").encode("utf-8", "surrogatepass") for t in own]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(net.score(texts) if net else [0.5] * len(texts), pa.float64())], ["id", "score"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double")
@@ -200,14 +172,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with its columns, without the documents that the network rejects."""
     net = train(docs, labels, id_col, text_col)
+    small_batches(docs.sparkSession)
     names = docs.columns
     at = names.index(text_col)
 
     def run(batches):
         for b in batches:
-            for s in range(0, b.num_rows, 512):
-                part = b.slice(s, 512)
-                texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(at).to_pylist()]
+            for part, own in text_groups(b, at):
+                texts = [(t or "").encode("utf-8", "surrogatepass") for t in own]
                 yield part.filter(pa.array([x >= threshold for x in net.score(texts)], pa.bool_())) if net else part
 
     return docs.mapInArrow(run, docs.schema)

@@ -50,8 +50,17 @@ def test_against_brute_force(spark, monkeypatch, broadcast):
 
 def test_repeated_rows_count_once(spark):
     rows = [(1, HOT), (1, HOT), (2, HOT), (3, HOT), (4, HOT)]
-    got = L.line_dedup_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(got) == 5
+    schema = "doc_id long, text string"
+    assert {r.n_dropped for r in L.line_dedup_report(spark.createDataFrame(rows, schema)).collect()} == {0}
+    rows += [(5, HOT), (None, HOT), (None, HOT)]
+    got = sorted(((r.doc_id, r.n_dropped) for r in L.line_dedup_report(spark.createDataFrame(rows, schema)).collect()), key=str)
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 0), (None, 0), (None, 0)]
+
+
+def test_rows_that_share_an_id_lose_their_own_lines(spark):
+    rows = [(1, f"first\n{HOT}"), (1, f"{HOT}\nsecond\nthird"), *((i, HOT) for i in range(2, 6))]
+    got = {r.text for r in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 1").collect()}
+    assert got == {"first", "second\nthird"}
 
 
 def test_empty_table(spark):
