@@ -1,13 +1,13 @@
 """Packing of tokenised documents into sequences of bounded length.
 
-Bounded-space online best fit.  Free space is a small integer, so the open bins are keyed by it: a bitset has the
-bit ``f`` set while some open bin has ``f`` places free, and the best bin for a piece of length ``n`` is the lowest
-set bit at or above ``n``.  When all allowed bins are open, the fullest closes first.
+Bounded-space online best fit.  Pieces come in an order that a hash of document and piece fixes, and each is placed for
+good when it comes.  At most ``OPEN_BINS`` bins are open.  Free space is a small integer, so they are keyed by it: a bitset
+has the bit ``f`` set while some open bin has ``f`` places free, and the best bin for a piece of length ``n`` is the lowest
+set bit at or above ``n``.  If none fits and all allowed bins are open, the fullest closes first.
 
 Documents are tokenised where they are read; only small piece rows (no ids, no texts) are shuffled, dealt by a hash
-of document and piece into blocks of about ``BLOCK`` pieces.  Each block is packed alone, longest piece first.  A block
-opens fewer bins than ``OPEN_BINS`` in practice, so the loss is below one sequence a block.  Number of blocks grows with
-the data; no block depends on another.
+of document and piece into blocks of about ``BLOCK`` pieces.  Each block is packed alone and leaves at most its open bins
+unfilled.  The number of blocks grows with the data; no block depends on another.
 
 Null text counts as empty: such a document is one piece that holds the end id alone.  Repeated rows are packed each
 for itself.  An empty table gives no rows.  Other columns of the input are ignored and dropped.
@@ -27,11 +27,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut
+from graphloom.llm.common import cut, small_batches, text_groups
 
 TOKENIZER, LENGTH, END_ID = "word_bpe_49k.json", 4096, 1
-OPEN_BINS, BLOCK = 8192, 16_384
-CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 64
+OPEN_BINS, BLOCK = 64, 16_384
+CACHE_ENTRIES, CACHE_CHARS = 500_000, 64
 #: Texts of these characters alone need no Unicode normalisation and lower-case one to one.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ſ]*")
 LETTERS, NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-ſ", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -61,8 +61,13 @@ class WordIds:
         self.merges = Tokenizer(self.lib.model)
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.letters = byte_letters()
+        self.cuts_alike = True
+        probe = [f"{a}{chr(c)}{b}" for c in range(0x20, 0x180) for a, b in (("", ""), ("a", "B"), ("Ab ", "1"), ("'s", "' 12"))]
         self.known: dict[str, bytes] = {}  # by word, and by what stands between white space
 
+        self.cuts_alike = self.encode_all(probe) == [self.library(t) for t in probe]  # a tokenizer of other rules gets whole texts
+        self.known = {}
+
     def library(self, text: str) -> bytes:
         return np.asarray(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -72,6 +77,8 @@ class WordIds:
         return [ids[a:b].tobytes() for a, b in zip(at, at[1:])]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
+        if not self.cuts_alike:
+            return [self.library(t) for t in texts]
         split = [t.lower().split() if "<|" not in t and PLAIN.fullmatch(t) else None for t in texts]
         if len(self.known) > CACHE_ENTRIES:
             self.known = {}
@@ -113,7 +120,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         w, end = word_ids(public_tokenizers.path(tokenizer)), np.asarray([END_ID], "<u4").tobytes()
         for b in batches:
             at, rows = [], []
-            for i, ids in ((s + j, x + end) for s in range(0, b.num_rows, GROUP) for j, x in enumerate(w.encode_all([t or "" for t in b.column(1).slice(s, GROUP).to_pylist()]))):
+            for i, ids in enumerate(x + end for _, texts in text_groups(b, 1, rows=GROUP) for x in w.encode_all([t or "" for t in texts])):
                 for k, s in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[s : s + 4 * length]
                     at.append(i)
@@ -177,11 +184,12 @@ def pack(parts: DataFrame, length: int = LENGTH, bins: int = OPEN_BINS, block: i
     return (
         parts.select(F.pmod(F.xxhash64("id", "piece"), F.lit(n)).alias("block"), "id", "piece", "start", "length", "ids_crc32")
         .repartition(n, "block")
-        .sortWithinPartitions("block", F.desc("length"), "id", "piece")
+        .sortWithinPartitions("block", F.xxhash64("piece", "id"), "id", "piece", "ids_crc32")
         .mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     )
 
 
 def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, length: int = LENGTH) -> DataFrame:
     """Pieces of all documents with their sequence and place."""
+    small_batches(docs.sparkSession)
     return pack(cut(pieces(docs, id_col, text_col, tokenizer, length), "pieces"), length).withColumnRenamed("id", id_col)
