@@ -16,6 +16,20 @@ from graphloom.plans.expr import Env
 from graphloom.storage import materialise
 
 
+#: Frontier rows that may be broadcast; their number is counted first, and a row holds ids and at most a path.
+BROADCAST_ROWS = 20_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A table of so many rows, to be sent to the edges rather than the edges to it if it is small."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def distinct_edges(graph: PropertyGraph, type_=None, undirected: bool = False) -> DataFrame:
+    """(node, to) computed once: rounds read it, none derives it again."""
+    return materialise(edge_list(graph, type_, undirected).select(F.col("src").alias("node"), F.col("dst").alias("to")).distinct())
+
+
 def edge_list(graph: PropertyGraph, type_=None, undirected: bool = False, weight: str | None = None) -> DataFrame:
     """(src, dst, w); a missing weight is 0."""
     rels = graph.rel_table(type_)
@@ -36,32 +50,34 @@ def degrees(graph: PropertyGraph, nodes: DataFrame | None = None, type_=None) ->
 
 def bfs(graph: PropertyGraph, start: int | list[int], type_=None, undirected: bool = False, max_depth: int | None = None) -> DataFrame:
     """(start, id, level) of every node within reach of each start."""
-    edges = edge_list(graph, type_, undirected).select(F.col("src").alias("id"), "dst").distinct()
     starts = [start] if isinstance(start, int) else list(start)
-    seen = frontier = graph.spark.createDataFrame([(s, s, 0) for s in starts], "start long, id long, level int")
-    depth = 0
-    while max_depth is None or depth < max_depth:
+    return bfs_from(graph, graph.spark.createDataFrame([(s,) for s in starts], "start long"), type_, undirected, max_depth)
+
+
+def bfs_from(graph: PropertyGraph, starts: DataFrame, type_=None, undirected: bool = False, max_depth: int | None = None) -> DataFrame:
+    """The same for a table of starts."""
+    edges = distinct_edges(graph, type_, undirected).toDF("id", "dst")
+    seen = frontier = starts.select("start", F.col("start").alias("id"), F.lit(0).alias("level")).distinct()
+    depth, rows = 0, frontier.count()
+    while rows and (max_depth is None or depth < max_depth):
         depth += 1
-        step = frontier.join(edges, "id").select("start", F.col("dst").alias("id")).distinct()
+        step = edges.join(small(frontier, rows), "id").select("start", F.col("dst").alias("id")).distinct()
         frontier = materialise(step.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("level", F.lit(depth)))
-        if frontier.isEmpty():
-            break
+        rows = frontier.count()
         seen = seen.unionByName(frontier)
     return seen
 
 
 def path_bfs(graph: PropertyGraph, start: int, type_=None, undirected: bool = False, max_depth: int | None = None) -> DataFrame:
     """(id, path) with one shortest path to each node within reach."""
-    edges = edge_list(graph, type_, undirected).select(F.col("src").alias("id"), "dst").distinct()
+    edges = distinct_edges(graph, type_, undirected).toDF("id", "dst")
     seen = frontier = graph.spark.createDataFrame([(start, [start])], "id long, path array<long>")
-    depth = 0
-    while max_depth is None or depth < max_depth:
+    depth, rows = 0, 1
+    while rows and (max_depth is None or depth < max_depth):
         depth += 1
-        step = frontier.join(edges, "id").select(F.col("dst").alias("id"), F.array_append("path", F.col("dst")).alias("path"))
-        best = step.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(F.min("path").alias("path"))
-        frontier = materialise(best)
-        if frontier.isEmpty():
-            break
+        step = edges.join(small(frontier, rows), "id").select(F.col("dst").alias("id"), F.array_append("path", F.col("dst")).alias("path"))
+        frontier = materialise(step.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
+        rows = frontier.count()
         seen = seen.unionByName(frontier)
     return seen
 
@@ -73,7 +89,7 @@ def shortest_paths(graph: PropertyGraph, pairs: DataFrame, type_=None, undirecte
     leaves as soon as all its targets are met.
     """
     pairs = materialise(pairs.select("src", "dst").where("src <> dst").distinct())
-    edges = edge_list(graph, type_, undirected).select(F.col("src").alias("node"), F.col("dst").alias("to")).distinct()
+    edges = distinct_edges(graph, type_, undirected)
     frontier = pairs.select("src", F.col("src").alias("node"), F.array("src").alias("path")).distinct()
     seen, found, left = frontier.select("src", "node"), [], pairs
     depth = 0
@@ -96,7 +112,7 @@ def shortest_paths(graph: PropertyGraph, pairs: DataFrame, type_=None, undirecte
 def weighted_shortest_paths(graph: PropertyGraph, pairs: DataFrame, type_=None, weight: str = "weight", undirected: bool = False, all_paths: bool = False) -> DataFrame:
     """(src, dst, path, hops, weight) by relaxation to a fixed point; weights are not negative, a missing one is 0."""
     pairs = materialise(pairs.select("src", "dst").where("src <> dst").distinct())
-    edges = edge_list(graph, type_, undirected, weight).select(F.col("src").alias("node"), F.col("dst").alias("to"), "w")
+    edges = materialise(edge_list(graph, type_, undirected, weight).groupBy(F.col("src").alias("node"), F.col("dst").alias("to")).agg(F.min("w").alias("w")))
     best = F.struct("dist", F.size("path").alias("n"), "path")
     dist = pairs.select("src", F.col("src").alias("node"), F.lit(0.0).alias("dist"), F.array("src").alias("path")).distinct()
     frontier = dist
@@ -115,30 +131,46 @@ def weighted_shortest_paths(graph: PropertyGraph, pairs: DataFrame, type_=None,
     return dist.join(pairs.withColumnRenamed("dst", "node"), ["src", "node"]).select("src", F.col("node").alias("dst"), "path", (F.size("path") - 1).cast("long").alias("hops"), F.col("dist").alias("weight"))
 
 
+def distances(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, node, dist) of all nodes that a path over ``edges`` (node, to, w) leads to; weights are not negative."""
+    dist = frontier = materialise(starts.select("start", F.col("start").alias("node"), F.lit(0.0).alias("dist")).distinct())
+    while not frontier.isEmpty():
+        step = frontier.join(edges, "node").groupBy("start", F.col("to").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
+        better = step.join(dist, ["start", "node"], "left").where("dist is null or new < dist").select("start", "node", F.col("new").alias("dist"))
+        frontier = materialise(better)
+        dist = materialise(dist.unionByName(frontier).groupBy("start", "node").agg(F.min("dist").alias("dist")))
+    return dist
+
+
+#: Partial paths of a pair that a round extends, for each answer that is asked for.
+BEAM = 4
+
+
 def k_shortest_paths(graph: PropertyGraph, pairs: DataFrame, k: int, type_=None, weight: str = "weight", undirected: bool = False) -> DataFrame:
     """(src, dst, rank, path, hops, weight): the ``k`` lightest simple paths of each pair.
 
-    Each round extends partial simple paths by one hop.  For a node, a partial path matters only while it may be a prefix
-    of one of the k answers, so those heavier than the k-th answer already found for all targets of their source go.
+    Distances to each target are found first.  A partial simple path's bound is its weight and the distance from its end
+    to the target: no answer that begins with it is lighter.  Each round extends the partial paths of lowest bound only,
+    ``BEAM * k`` of a pair and their ties; a pair is done when its k answers are no heavier than any bound.  Partial
+    paths that cannot reach the target have no bound and are never made.
     """
     pairs = materialise(pairs.select("src", "dst").where("src <> dst").distinct())
-    edges = edge_list(graph, type_, undirected, weight).groupBy(F.col("src").alias("node"), F.col("dst").alias("to")).agg(F.min("w").alias("w"))
-    partial = pairs.select("src", F.col("src").alias("node"), F.lit(0.0).alias("dist"), F.array("src").alias("path")).distinct()
+    edges = materialise(edge_list(graph, type_, undirected, weight).groupBy(F.col("src").alias("node"), F.col("dst").alias("to")).agg(F.min("w").alias("w")))
+    ahead = distances(edges.select(F.col("to").alias("node"), F.col("node").alias("to"), "w"), pairs.select(F.col("dst").alias("start"))).select(F.col("start").alias("dst"), "node", F.col("dist").alias("ahead"))
+    partial = materialise(pairs.withColumn("node", F.col("src")).join(ahead, ["dst", "node"]).select("src", "dst", "node", F.lit(0.0).alias("dist"), F.array("src").alias("path"), F.col("ahead").alias("bound")))
     order = Window.partitionBy("src", "dst").orderBy("weight", F.size("path"), "path")
-    answers = None
-    while True:
-        step = partial.join(edges, "node").where(~F.array_contains("path", F.col("to"))).select("src", F.col("to").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.array_append("path", F.col("to")).alias("path"))
-        step = materialise(step)
-        if step.isEmpty():
-            break
-        hits = step.join(pairs.withColumnRenamed("dst", "node"), ["src", "node"]).select("src", F.col("node").alias("dst"), "path", F.col("dist").alias("weight"))
-        merged = hits if answers is None else answers.unionByName(hits)
-        answers = materialise(merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"))
-        full = answers.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("worst"))
-        bound = pairs.join(full, ["src", "dst"], "left").groupBy("src").agg(F.max(F.when(F.col("n") >= k, F.col("worst")).otherwise(F.lit(float("inf")))).alias("bound"))
-        partial = materialise(step.join(bound, "src").where("dist <= bound").drop("bound"))
-    if answers is None:
-        return graph.spark.createDataFrame([], "src long, dst long, rank int, path array<long>, hops long, weight double")
+    by_bound = Window.partitionBy("src", "dst").orderBy("bound")
+    answers = graph.spark.createDataFrame([], "src long, dst long, path array<long>, weight double")
+    while not partial.isEmpty():
+        ranked = partial.withColumn("turn", F.rank().over(by_bound) <= BEAM * k)
+        step = ranked.where("turn").join(edges, "node").where(~F.array_contains("path", F.col("to"))).select("src", "dst", F.col("to").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.array_append("path", F.col("to")).alias("path"))
+        step = materialise(step.join(ahead, ["dst", "node"]).withColumn("bound", F.col("dist") + F.col("ahead")).drop("ahead"))
+        hits = step.where("node = dst").select("src", "dst", "path", F.col("dist").alias("weight"))
+        answers = materialise(answers.unionByName(hits).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"))
+        full = answers.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("worst")).where(F.col("n") >= k)
+        left = ranked.where("not turn").drop("turn").unionByName(step.where("node <> dst"))
+        # a partial path as heavy as the worst answer may still give an answer that comes before it among equals
+        partial = materialise(left.join(full, ["src", "dst"], "left").where("worst is null or bound <= worst").drop("n", "worst"))
     return answers.withColumn("rank", F.row_number().over(order)).select("src", "dst", "rank", "path", (F.size("path") - 1).cast("long").alias("hops"), "weight")
 
 
@@ -154,9 +186,10 @@ def csr_rows(graph: PropertyGraph, type_=None, weight: str | None = None, undire
 def csr_arrays(graph: PropertyGraph, type_=None, weight: str | None = None) -> DataFrame:
     """(id, row_offset, degree): where each node's edges begin in an edge array ordered by (source, target).
 
-    Offsets are running sums within ranges of ids plus the sums of the ranges before; only range sums meet in one task.
+    Nodes are dealt into ranges of ids by sampled bounds, whatever the ids look like.  Offsets are running sums within
+    ranges plus the sums of the ranges before; only range sums meet in one task.
     """
-    rows = csr_rows(graph, type_, weight).select("id", "degree").withColumn("range", F.floor(F.col("id") / 65_536))
+    rows = csr_rows(graph, type_, weight).select("id", "degree").repartitionByRange("id").withColumn("range", F.spark_partition_id())
     rows = materialise(rows)
     before = rows.groupBy("range").agg(F.sum("degree").alias("n")).select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("base"))
     within = F.sum("degree").over(Window.partitionBy("range").orderBy("id")) - F.col("degree")
@@ -265,17 +298,7 @@ def _csr(graph, df, env, type_=None, weight=None, both=0):
 def _bfs(graph, df, env, type_=None, both=0, max_depth=None):
     """Each input node is a start; appends (node id, level) rows."""
     n = _next(df)
-    starts = df.select(env.ident(-1).alias("start")).distinct()
-    edges = edge_list(graph, type_, bool(both)).select(F.col("src").alias("id"), "dst").distinct()
-    seen = frontier = starts.select("start", F.col("start").alias("id"), F.lit(0).alias("level"))
-    depth = 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        step = frontier.join(edges, "id").select("start", F.col("dst").alias("id")).distinct()
-        frontier = materialise(step.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("level", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
+    seen = bfs_from(graph, df.select(env.ident(-1).alias("start")), type_, bool(both), max_depth)
     side = seen.toDF("__start", f"_{n}", f"_{n + 1}")
     return df.join(side, env.ident(-1) == F.col("__start")).drop("__start")
 

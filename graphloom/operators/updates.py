@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.errors import OrphanedRelationship, QueryProcessingError
-from graphloom.graph import REL_KEYS, PropertyGraph
+from graphloom.graph import REL_KEYS, PropertyGraph, union_all
 from graphloom.operators.lower import Lowering
 from graphloom.plans import logical as L
 from graphloom.plans.parser import parse
@@ -26,8 +26,8 @@ def _literal(value: Any) -> Column:
 
 
 def _next_id(tables: dict[str, DataFrame]) -> int:
-    tops = [t.agg(F.max("id")).first()[0] for t in tables.values()]
-    return max([-1, *(x for x in tops if x is not None)]) + 1
+    top = union_all([t.select("id") for t in tables.values()]).agg(F.max("id")).first()[0] if tables else None
+    return 0 if top is None else top + 1
 
 
 def numbered(df: DataFrame, first: int, name: str) -> DataFrame:

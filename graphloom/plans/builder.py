@@ -87,15 +87,15 @@ class Query:
         """The other side's bindings come first."""
         return self._to(L.Join(other.plan, self.plan, "cross"))
 
-    def _node_join(self, positions, other, hint):
+    def _node_join(self, positions, other):
         left, right = positions
-        return self._to(L.Join(self.plan, other.plan, "inner", ("ids", left, right), hint))
+        return self._to(L.Join(self.plan, other.plan, "inner", ("ids", left, right)))
 
     def nested_loop_join(self, positions: tuple[int, int], other: "Query") -> "Query":
-        return self._node_join(positions, other, None)
+        return self._node_join(positions, other)
 
     def hash_join(self, positions: tuple[int, int], other: "Query") -> "Query":
-        return self._node_join(positions, other, "shuffle_hash")
+        return self._node_join(positions, other)
 
     def left_outer_join(self, other: "Query", predicate) -> "Query":
         """``predicate``: an expression over both sides' bindings, or a function from the environment to a column."""

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the checkpoint folder; a local session without one gets a temporary folder."""
-    spark = df.sparkSession
+def prepare(spark: SparkSession) -> str:
+    """The shared checkpoint folder; a local session without one gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if folder and not context.getCheckpointDir():
@@ -18,4 +18,15 @@ def materialise(df: DataFrame) -> DataFrame:
         if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
+    return (folder or context.getCheckpointDir()).rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{prepare(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the checkpoint folder."""
+    prepare(df.sparkSession)
     return df.checkpoint()
