@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import small_batches, text_groups
 
-BLOCK, FILTERS, HIDDEN = 32, 16, 32
+BLOCK, FILTERS, HIDDEN = 32, 8, 32
 SAMPLE, SAMPLE_BYTES = 1500, 1 << 16
-EPOCHS, BATCH, RATE = 8, 128, 0.01
+EPOCHS, BATCH, RATE = 4, 128, 0.01
 THRESHOLD = 0.3
 #: Bytes scored at once.
 GROUP_BYTES = 1 << 20

@@ -1,12 +1,18 @@
 """Token counts of whole texts without keeping token ids.
 
-Each text is split into pre-tokens that no piece of the vocabulary can cross.  The tokenizer sees each distinct
-pre-token once (per task, in a bounded cache); a document's count is the sum over its distinct pre-tokens of
-frequency times piece count.  Nothing is shuffled: the frequencies of a document live in its own row's task, so
-the join of frequencies to piece counts is a hash lookup inside the Arrow batch.
-
-Null text counts as empty and an empty text has no tokens.  Repeated rows are counted each for itself; other
-columns of the input are ignored and dropped.
+1. Each text is split into pre-tokens that no piece of the vocabulary can cross.  A first pass over the texts gives the
+   distinct pre-tokens with their frequencies (combined in each task, then by a shuffle).
+2. The tokenizer sees each row of that table, and so each distinct pre-token of all texts, once: pieces by pre-token.
+3. A second pass makes the frequencies of pre-tokens in each text.  Those of the most frequent pre-tokens, ``HEAD`` at
+   most, meet their pieces where they are made: that part of the table is broadcast.  The others are joined to the table
+   by pre-token.  Frequencies times pieces are summed for each text, which a 128-bit hash names: rows of equal texts
+   have equal counts, and what they add up to is divided by their number.
+
+No ids are made into rows.  A pre-token that a third of all texts hold is in the head, or, if the head is full, has its
+join's partition split by adaptive execution; sums are combined before they are shuffled.
+
+Null text counts as empty and an empty text has no tokens.  Repeated rows, rows that share an id and rows with a null id
+are counted each for itself; an empty table gives no rows.  Other columns of the input are ignored and dropped.
 """
 
 from __future__ import annotations
@@ -15,22 +21,26 @@ import re
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import cut, drop, small_batches, text_groups
+
 MODEL = "piece_bpe_32k.model"
-#: Distinct pre-tokens a worker remembers, and the longest it remembers: about 80 MB.
-CACHE_ENTRIES, CACHE_CHARS = 600_000, 64
+#: Pre-tokens that are broadcast, the longest of them, and distinct ones that a task holds before it hands them on.
+HEAD, HEAD_CHARS, HELD = 100_000, 64, 200_000
 SPACE = "▁"
 PRETOKEN = re.compile(f"\n+|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-#: Rows whose new pre-tokens go to the library in one call.
-GROUP = 256
 
 
 class PieceCounter:
-    """Counts the pieces of one pre-token with the sentencepiece library, once each."""
+    """Pre-tokens of texts, and the number of pieces of each by the sentencepiece library.
+
+    A pre-token is written without its word start; one that has none, or several, is written after a blank.
+    """
 
     def __init__(self, model_path: str):
         import sentencepiece
@@ -39,9 +49,26 @@ class PieceCounter:
         pieces = (self.lib.id_to_piece(i) for i in range(self.lib.get_piece_size()))
         # a boundary is safe where no piece has a word start after another character, nor a line end beside anything
         self.splits = all(not re.search(f"[^{SPACE}]{SPACE}|\n.|.\n", p, re.S) for p in pieces) and self.lib.encode("\n", out_type=str)[-1] == "<0x0A>"
-        self.known: dict[str, int] = {}
 
-    def pieces(self, token: str) -> int:
+    def pretokens(self, text: str) -> list[str]:
+        if not text:
+            return []
+        if not self.splits:
+            return ["  " + text]  # the whole text is one
+        words = text.split(" ")
+        if "" not in words and SPACE not in text:
+            return words
+        found = PRETOKEN.findall(SPACE + text.replace(" ", SPACE))
+        return [t[1:] if t[0] == SPACE and t[1:2] not in ("", SPACE) else " " + t for t in found]
+
+    def pieces(self, pretokens: list[str]) -> list[int]:
+        plain = [t for t in pretokens if t[0] != " "]
+        known = dict(zip(plain, map(len, self.lib.encode(plain, num_threads=1)))) if plain else {}
+        return [known[t] if t[0] != " " else self._odd(t[1:]) for t in pretokens]
+
+    def _odd(self, token: str) -> int:
+        if token[0] == " ":
+            return len(self.lib.encode(token[1:]))
         if token[0] == "\n":
             return len(token)
         if token == SPACE:
@@ -50,46 +77,94 @@ class PieceCounter:
             return len(self.lib.encode(token[1:]))
         return len(self.lib.encode("\n" + token)) - 2
 
-    def count_all(self, texts: list[str]) -> list[int]:
-        if not self.splits:
-            return [len(self.lib.encode(t)) for t in texts]
-        freqs, odd = [], {}
-        for i, t in enumerate(texts):
-            freq = Counter(t.split(" ")) if t else {}
-            if "" in freq or SPACE in t:  # runs of blanks: pre-tokens of several word starts
-                odd[i] = sum(n * self.pieces(p) for p, n in Counter(PRETOKEN.findall(SPACE + t.replace(" ", SPACE))).items())
-                freq = {}
-            freqs.append(freq)
-        known = self.known
-        new = list(set().union(*freqs).difference(known))
-        own = dict(zip(new, map(len, self.lib.encode(new, num_threads=1)))) if new else {}
-        totals = [odd[i] if i in odd else sum(n * (known[w] if w in known else own[w]) for w, n in f.items()) for i, f in enumerate(freqs)]
-        if len(known) + len(own) > CACHE_ENTRIES:
-            known.clear()
-        known.update((w, n) for w, n in own.items() if len(w) <= CACHE_CHARS)
-        return totals
-
-    def count(self, text: str) -> int:
-        return self.count_all([text])[0]
-
 
 @lru_cache(maxsize=2)
 def counter(model_path: str) -> PieceCounter:
     return PieceCounter(model_path)
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, limit: int = 4096) -> DataFrame:
-    """Per row of ``docs``: id, UTF-8 bytes, tokens, and whether there are more than ``limit`` tokens."""
+def pretoken_counts(texts: DataFrame, model: str) -> DataFrame:
+    """(word, n) of the distinct pre-tokens of all texts."""
+
+    def run(batches):
+        c, held = counter(public_tokenizers.path(model)), Counter()
+
+        def parts():
+            words, n = list(held), np.fromiter(held.values(), np.int64, len(held))
+            for s in range(0, len(words), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(words[s : s + 20_000], pa.string()), pa.array(n[s : s + 20_000])], ["word", "n"])
+
+        for b in batches:
+            for _, own in text_groups(b, 0):
+                for t in own:
+                    held.update(c.pretokens(t))
+                if len(held) > HELD:
+                    yield from parts()
+                    held = Counter()
+        yield from parts()
+
+    return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def piece_table(counts: DataFrame, model: str) -> DataFrame:
+    """(word, n, pieces)."""
 
     def run(batches):
         c = counter(public_tokenizers.path(model))
         for b in batches:
-            n = [k for s in range(0, b.num_rows, GROUP) for k in c.count_all([t or "" for t in b.column(1).slice(s, GROUP).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["id", "n_bytes", "n_tokens", "over_limit"])
+            for part, words in text_groups(b, 0, rows=4096):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(c.pieces(words), pa.int64())], ["word", "n", "pieces"])
+
+    return counts.mapInArrow(run, "word string, n long, pieces long")
+
 
+def head(table: DataFrame, most: int) -> dict[str, int]:
+    """Pieces of the most frequent short pre-tokens, at most ``most``: all of a frequency, or none of it."""
+    short = table.where(F.char_length("word") <= HEAD_CHARS)
+    level = F.least("n", F.lit(100_000))  # so many rows in the histogram at most
+    least, total = 1 << 62, 0
+    for n, words in sorted(map(tuple, short.groupBy(level.alias("level")).agg(F.count(F.lit(1))).collect()), reverse=True):
+        total += words
+        if total > most:
+            break
+        least = n
+    return dict(map(tuple, short.where(level >= least).select("word", "pieces").collect()))
+
+
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, limit: int = 4096, most: int = HEAD) -> DataFrame:
+    """Per row of ``docs``: id, UTF-8 bytes, tokens, and whether there are more than ``limit`` tokens."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(text.alias("text"), F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    table = cut(piece_table(pretoken_counts(texts, model), model), "token-pieces")
+    frequent = spark.sparkContext.broadcast(head(table, most))
     kind = docs.schema[id_col].dataType.simpleString()
-    return (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("n_bytes"))
-        .mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
-        .withColumnRenamed("id", id_col)
-    )
+
+    def run(batches):
+        c, known = counter(public_tokenizers.path(model)), frequent.value
+        for b in batches:
+            for part, own in text_groups(b, 0):
+                sums, words, ns, ends = [], [], [], [0]
+                for t in own:
+                    total = 0
+                    for w, n in Counter(c.pretokens(t)).items():
+                        pieces = known.get(w)
+                        if pieces is None:
+                            words.append(w)
+                            ns.append(n)
+                        else:
+                            total += n * pieces
+                    sums.append(total)
+                    ends.append(len(words))
+                rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(ns, pa.int64())], ["word", "n"]))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(sums, pa.int64()), rare], ["id", "n_bytes", "h1", "h2", "common", "rare"])
+
+    rows = cut(texts.mapInArrow(run, f"id {kind}, n_bytes long, h1 long, h2 long, common long, rare array<struct<word:string,n:long>>"), "token-frequencies")
+    each = rows.select("h1", "h2", F.size("rare").alias("words"), F.explode("rare").alias("x")).select("h1", "h2", "words", "x.word", "x.n")
+    met = each.join(table.select("word", "pieces"), "word")
+    sums = met.groupBy("h1", "h2").agg(F.sum(F.col("n") * F.col("pieces")).alias("total"), (F.count(F.lit(1)) / F.max("words")).cast("long").alias("copies"))
+    sums = cut(sums.select("h1", "h2", F.expr("total div copies").alias("others")), "token-sums")
+    drop(table)
+    n = F.col("common") + F.coalesce("others", F.lit(0))
+    return rows.drop("rare").join(sums, ["h1", "h2"], "left").select(F.col("id").alias(id_col), "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
