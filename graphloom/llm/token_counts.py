@@ -5,8 +5,7 @@
 2. The tokenizer sees each row of that table, and so each distinct pre-token of all texts, once: pieces by pre-token.
 3. A second pass makes the frequencies of pre-tokens in each text.  Those of the most frequent pre-tokens, ``HEAD`` at
    most, meet their pieces where they are made: that part of the table is broadcast.  The others are joined to the table
-   by pre-token.  Frequencies times pieces are summed for each text, which a 128-bit hash names: rows of equal texts
-   have equal counts, and what they add up to is divided by their number.
+   by pre-token.  Frequencies times pieces are summed for each row, by a number that the rows get when they are written.
 
 No ids are made into rows.  A pre-token that a third of all texts hold is in the head, or, if the head is full, has its
 join's partition split by adaptive execution; sums are combined before they are shuffled.
@@ -27,11 +26,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, drop, small_batches, text_groups
+from graphloom.llm.common import cut, small_batches, text_groups
 
 MODEL = "piece_bpe_32k.model"
 #: Pre-tokens that are broadcast, the longest of them, and distinct ones that a task holds before it hands them on.
-HEAD, HEAD_CHARS, HELD = 100_000, 64, 200_000
+HEAD, HEAD_CHARS, HELD = 300_000, 64, 300_000
 SPACE = "▁"
 PRETOKEN = re.compile(f"\n+|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
@@ -90,7 +89,8 @@ def pretoken_counts(texts: DataFrame, model: str) -> DataFrame:
         c, held = counter(public_tokenizers.path(model)), Counter()
 
         def parts():
-            words, n = list(held), np.fromiter(held.values(), np.int64, len(held))
+            words = sorted(held)  # neighbours that begin alike compress well in the shuffle
+            n = np.fromiter(map(held.__getitem__, words), np.int64, len(words))
             for s in range(0, len(words), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(words[s : s + 20_000], pa.string()), pa.array(n[s : s + 20_000])], ["word", "n"])
 
@@ -136,7 +136,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     small_batches(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(text.alias("text"), F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    texts = docs.select(text.alias("text"), F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"))
     table = cut(piece_table(pretoken_counts(texts, model), model), "token-pieces")
     frequent = spark.sparkContext.broadcast(head(table, most))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -157,14 +157,12 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                             total += n * pieces
                     sums.append(total)
                     ends.append(len(words))
-                rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(ns, pa.int64())], ["word", "n"]))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(sums, pa.int64()), rare], ["id", "n_bytes", "h1", "h2", "common", "rare"])
-
-    rows = cut(texts.mapInArrow(run, f"id {kind}, n_bytes long, h1 long, h2 long, common long, rare array<struct<word:string,n:long>>"), "token-frequencies")
-    each = rows.select("h1", "h2", F.size("rare").alias("words"), F.explode("rare").alias("x")).select("h1", "h2", "words", "x.word", "x.n")
-    met = each.join(table.select("word", "pieces"), "word")
-    sums = met.groupBy("h1", "h2").agg(F.sum(F.col("n") * F.col("pieces")).alias("total"), (F.count(F.lit(1)) / F.max("words")).cast("long").alias("copies"))
-    sums = cut(sums.select("h1", "h2", F.expr("total div copies").alias("others")), "token-sums")
-    drop(table)
+                rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(ns, pa.int32())], ["word", "n"]))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(sums, pa.int64()), rare], ["id", "n_bytes", "common", "rare"])
+
+    made = texts.mapInArrow(run, f"id {kind}, n_bytes long, common long, rare array<struct<word:string,n:int>>")
+    rows = cut(made.withColumn("row", F.monotonically_increasing_id()), "token-frequencies")
+    met = rows.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n").join(table.select("word", "pieces"), "word")
+    sums = met.groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("others"))
     n = F.col("common") + F.coalesce("others", F.lit(0))
-    return rows.drop("rare").join(sums, ["h1", "h2"], "left").select(F.col("id").alias(id_col), "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
+    return rows.drop("rare").join(sums, "row", "left").select(F.col("id").alias(id_col), "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
