@@ -1,7 +1,10 @@
 import hashlib
 import random
+import re
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import fingerprints as P
 
@@ -23,12 +26,27 @@ def edited(rows):
     return out
 
 
-@pytest.mark.parametrize(("rows_each", "ranges"), [(512, 4096), (4, 3)])
-def test_report(spark, monkeypatch, rows_each, ranges):
-    monkeypatch.setattr(P, "RANGE_ROWS", rows_each)
-    monkeypatch.setattr(P, "RANGES", ranges)
+def plain_pairs(text):
+    """Frequencies of pairs of neighbouring words, a paragraph's first with its start."""
+    out = Counter()
+    for line in text.split("\n"):
+        words = re.findall("[^ \t\r\x0b\x0c]+", line)
+        out.update(zip(["\n", *words], words))
+    return out
+
+
+def plain_likeness(a, b):
+    a, b = plain_pairs(a), plain_pairs(b)
+    norm = lambda c: sum(v * v for v in c.values())
+    apart = sum((a[k] - b[k]) ** 2 for k in a | b)
+    return 1.0 if not apart else max(0.0, 1 - apart / (norm(a) + norm(b)))
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_report(spark, partitions):
     rows = corpus()
-    got = {r.doc_id: r for r in P.fingerprints(spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, fingerprint string, id int")).collect()}
+    schema = "doc_id long, text string, fingerprint string, id int"
+    got = {r.doc_id: r for r in P.fingerprints(spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], schema).repartition(partitions)).collect()}
     want = edited(rows)
     assert {i: (r.n_chars, r.edited_sha256) for i, r in got.items()} == {i: (len(t or ""), hashlib.sha256(want[i].encode()).hexdigest()) for i, t in rows}
     by_text = {}
@@ -39,6 +57,19 @@ def test_report(spark, monkeypatch, rows_each, ranges):
     assert all(0 <= x <= 1 for r in got.values() for x in (r.near_edited, r.near_next))
     prose = [i for i, _ in rows[:60] if got[i].n_chars > 400]
     assert sum(got[i].near_edited for i in prose) / len(prose) > 0.55 > 0.3 > sum(got[i].near_next for i in prose) / len(prose)
+    text = {i: t or "" for i, t in rows}
+    for i in prose:  # four standard errors of an estimate from 60 signs
+        assert abs(got[i].near_edited - plain_likeness(text[i], want[i])) < 4 * 0.18
+    errors = [abs(got[i].near_edited - plain_likeness(text[i], want[i])) for i in prose]
+    assert sum(errors) / len(errors) < 0.18
+
+
+def test_lanes_do_not_carry(spark):
+    """A lane that overflows stays modulo its own size and leaves its neighbours alone."""
+    row = spark.range(1).selectExpr(f"{P.WHOLE} AS full").select(P.fold(F.array("full"), lambda x: x, P.WHOLE).alias("a"), P.fold(F.array("full", F.lit(1).cast("long")), lambda x: x, P.WHOLE).alias("b")).first()
+    lane = lambda x, k: x >> k * P.GAP & (1 << P.LANE_BITS) - 1
+    assert [lane(row.a, k) for k in range(3)] == [(1 << P.LANE_BITS) - 1] * 3
+    assert [lane(row.b, k) for k in range(3)] == [0, (1 << P.LANE_BITS) - 1, (1 << P.LANE_BITS) - 1]
 
 
 def test_order_of_paragraphs_does_not_matter(spark):
@@ -55,5 +86,7 @@ def test_paragraphs_add_and_subtract(spark):
 
 def test_repeated_rows_null_ids_and_empty(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (2, "d")], "doc_id long, text string")
-    assert P.fingerprints(df).count() == 4
+    got = sorted(((r.doc_id, r.edited_sha256) for r in P.fingerprints(df).collect()), key=str)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == sorted([(1, sha("a b")), (1, sha("a b")), (None, sha("c")), (2, sha("d"))], key=str)
     assert P.fingerprints(df.limit(0)).count() == 0
