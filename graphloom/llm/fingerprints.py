@@ -73,11 +73,11 @@ def fingerprinted(rows: DataFrame, text_col: str, name: str) -> DataFrame:
     )
 
 
-def lanes(sums: Column, n: Column) -> list[Column]:
+def lanes(sums: Column, n: Column) -> Column:
     """Counts of lanes; of the numbers that a lane may stand for, the one nearest to half the pairs (exact below 2 ** 20 pairs)."""
     size = 1 << LANE_BITS
-    plain = [F.shiftrightunsigned(F.get(sums, F.lit(k)), GAP * j).bitwiseAND(F.lit(size - 1)) for k in range(SUMS) for j in range(3)]
-    return [x + F.lit(size) * F.round((n / 2 - x) / size).cast("long") for x in plain]
+    plain = F.array(*(F.shiftrightunsigned(F.get(sums, F.lit(k)), GAP * j).bitwiseAND(F.lit(size - 1)) for k in range(SUMS) for j in range(3)))
+    return F.when(n < size, plain).otherwise(F.transform(plain, lambda x: x + F.lit(size) * F.round((n / 2 - x) / size).cast("long")))
 
 
 def text_form(wide: Column, sums: Column) -> Column:
@@ -92,7 +92,7 @@ def likeness(n: Column, sums: Column, wide: Column, m: Column, other_sums: Colum
     Mean squares of such sums estimate squared norms of the pairs' frequencies; those of the difference and of both texts
     give the likeness.  A norm is no less than the number of pairs.
     """
-    a, b = F.array(*lanes(sums, n)), F.array(*lanes(other_sums, m))
+    a, b = lanes(sums, n), lanes(other_sums, m)
     mean_square = lambda x: F.aggregate(x, F.lit(0.0), lambda t, v: t + v.cast("double") * v) / F.lit(float(LANES))
     apart = mean_square(F.zip_with(a, b, lambda x, y: F.lit(2) * (x - y) - (n - m)))
     norms = mean_square(F.transform(a, lambda x: F.lit(2) * x - n)) + mean_square(F.transform(b, lambda x: F.lit(2) * x - m))
