@@ -6,6 +6,7 @@ The rank of a position at length h is a 64-bit name of its h bytes; the pair of
 1. (24 bytes)  Of each window of ``length`` bytes one position is examined: the one of its 24-byte ranks that is
    lowest (ties: leftmost).  Equal windows examine equal positions, so a rank that occurs once in all texts frees every
    window that examines it.  About one position in forty is counted, and counts are combined before the shuffle.
+   Repeated ranks meet the positions by a join of numbers alone; only then do texts give out strings.
 2. (the run)   Neighbouring windows that examine one position make one string.  Equal strings collapse to their first
    occurrence and its copies; copies are repeats throughout, so a hot group of copies costs one row.
 3. (``length`` bytes)  Where one rank has several strings, their windows' rank pairs are sorted, and each window whose
@@ -26,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut
+from graphloom.llm.common import cut, drop
 
 LENGTH, GRAM = 100, 24
-#: Strings of one rank that one task sorts; bytes ranked at once; keys that may be broadcast (8 bytes each).
-GROUP, BYTES, BROADCAST_KEYS = 4096, 1 << 19, 2_000_000
+#: Strings of one rank that one task sorts; bytes ranked at once.
+GROUP, BYTES = 4096, 1 << 19
 TABLE = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
 C, D = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -110,27 +111,34 @@ def in_groups(batches, at: int):
             yield b.slice(s), texts[s:]
 
 
-def keys(docs: DataFrame, length: int) -> DataFrame:
+def positions(docs: DataFrame, length: int) -> DataFrame:
+    """(key, id, mark, start, windows) of each string, without its bytes."""
+
     def run(batches):
-        for _, texts in in_groups(batches, 0):
-            yield pa.RecordBatch.from_arrays([pa.array(strings(texts, length)[1])], ["key"])
+        for part, texts in in_groups(batches, 2):
+            text, key, first, windows, starts = strings(texts, length)
+            at = pa.array(text)
+            yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0).take(at), part.column(1).take(at), pa.array(first - starts[text]), pa.array(windows)], ["key", "id", "mark", "start", "windows"])
 
-    return docs.select("text").mapInArrow(run, "key long")
+    return docs.select("id", "mark", "text").mapInArrow(run, "key long, id long, mark long, start long, windows long")
 
 
-def occurrences(docs: DataFrame, length: int) -> DataFrame:
-    """(key, id, start, windows, bytes) of each string."""
+def occurrences(marked: DataFrame, length: int) -> DataFrame:
+    """(key, id, start, windows, bytes) of the strings that ``marked`` (id, text, found) names."""
 
     def run(batches):
-        for part, texts in in_groups(batches, 1):
-            text, key, first, windows, starts = strings(texts, length)
-            whole = b"".join(texts)
-            for s in range(0, len(text), 20_000):
-                cut_ = slice(s, s + 20_000)
-                content = [whole[a:b] for a, b in zip(first[cut_].tolist(), (first + windows + length - 1)[cut_].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(key[cut_]), part.column(0).take(pa.array(text[cut_])), pa.array((first - starts[text])[cut_]), pa.array(windows[cut_]), pa.array(content, pa.binary())], ["key", "id", "start", "windows", "bytes"])
+        for b in batches:
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
+            found = b.column(2).flatten()
+            row = np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy())
+            for s in range(0, len(row), 20_000):
+                own, part = row[s : s + 20_000], found.slice(s, 20_000)
+                key, start, windows = part.flatten()
+                ends = start.to_numpy() + windows.to_numpy() + (length - 1)
+                content = [texts[r][i:e] for r, i, e in zip(own.tolist(), start.to_pylist(), ends.tolist())]
+                yield pa.RecordBatch.from_arrays([key, b.column(0).take(pa.array(own)), start, windows, pa.array(content, pa.binary())], ["key", "id", "start", "windows", "bytes"])
 
-    return docs.select("id", "text").mapInArrow(run, "key long, id long, start long, windows long, bytes binary")
+    return marked.select("id", "text", "found").mapInArrow(run, "key long, id long, start long, windows long, bytes binary")
 
 
 def window_names(contents: list[bytes], windows: np.ndarray, keys_: np.ndarray, length: int):
@@ -199,15 +207,22 @@ def repeats_by_window(firsts: DataFrame, length: int) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     """(id, ranges): for each text the starts and counts of its windows that occurred earlier."""
-    repeated = cut(keys(docs, length).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "substring-keys")
-    small = repeated.count() <= BROADCAST_KEYS
-    seen = cut(occurrences(docs, length).join(F.broadcast(repeated) if small else repeated, "key", "left_semi"), "substring-strings")
+    docs = docs.withColumn("mark", F.xxhash64("text"))  # tells rows that share an id apart
+    places = cut(positions(docs, length), "substring-positions")
+    repeated = cut(places.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "substring-keys")
+    found = places.join(repeated, "key", "left_semi").groupBy("id", "mark").agg(F.collect_list(F.struct("key", "start", "windows")).alias("found"))
+    marks = cut(found, "substring-marks")
+    drop(places, repeated)
+    seen = cut(occurrences(docs.join(marks, ["id", "mark"]), length), "substring-strings")
+    drop(marks)
     firsts = cut(seen.groupBy("key", "bytes").agg(F.min(F.struct("id", "start", "windows")).alias("x")).select("key", "bytes", "x.*"), "substring-firsts")
     several = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     unsure = cut(firsts.join(several, "key"), "substring-unsure")
     copies = seen.select("id", "start", "windows").join(firsts.select("id", "start"), ["id", "start"], "left_anti")
     found = copies.unionByName(repeats_in_groups(unsure.where(F.col("n") <= GROUP), length)).unionByName(repeats_by_window(unsure.where(F.col("n") > GROUP), length))
-    return found.groupBy("id").agg(F.collect_list(F.struct("start", "windows")).alias("ranges"))
+    ranges = cut(found.groupBy("id").agg(F.collect_list(F.struct("start", "windows")).alias("ranges")), "substring-ranges")
+    drop(seen, firsts, unsure)
+    return ranges
 
 
 def spans(ranges, size: int, length: int) -> list[tuple[int, int]]:
