@@ -1,12 +1,15 @@
 """Removal of long lines that many documents share.
 
-A line's key is the line without white space at both ends, A-Z in lower case.  Each document gives its distinct long
-keys as 128-bit hashes with their positions.  One pass makes (hash, document) distinct and then, combined before the
-second shuffle so that a line that a third of all documents hold is no hot task, counts documents and finds the largest
-id for each hash; a second pass meets
-those hashes with (document, position) rows and returns, instead of text, a compressed bitmap of dropped lines for each
-document: 64-line words, without the words in which all lines stay.  The shared hashes are broadcast if their count
-allows it; if not, both sides are dealt out by a salt as well, so the lines of one hash never meet in one task.
+A line's key is the line without white space at both ends, A-Z in lower case.  Each document gives 128-bit hashes of its
+long keys with their positions, written once.  Hashes are dealt into ranges and sorted within them by document, largest
+id first, and position; streaming through a range, the first document of a hash keeps its lines and the others lose
+theirs if the hash counts enough documents.  What comes back is no text but a compressed bitmap of dropped lines for each
+document: 64-line words, without the words in which all lines stay.
+
+A hash is never cut by a range, so hashes of very many lines do not go into ranges: those of at least ``HOT_LINES``
+lines, and of at least 1 / ``HOT_KEYS`` of all lines.  There are at most ``HOT_KEYS`` of them whatever the input, so
+their numbers of documents and largest ids, combined before the shuffle, are broadcast to where the lines are.  Both
+ways are always taken and give the same decision.
 
 Keys of at least ``min_chars`` code points found in at least ``min_docs`` documents lose all their lines but those in the
 largest id that holds it.  Null or empty text is one empty line.  Rows that repeat an id count as one document, and
@@ -16,14 +19,14 @@ its lines.  An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import BLANKS, ascii_lower, cut, text_or_empty
+from graphloom.llm.common import BLANKS, ascii_lower, cut, drop, text_or_empty
 
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Keys that may be broadcast (24 bytes each), and the parts that each key's lines are dealt into beyond that.
-BROADCAST_KEYS, SALTS = 1_000_000, 16
+#: Lines from which on a key may stay out of the ranges, and the most keys that do (40 bytes each are broadcast).
+HOT_LINES, HOT_KEYS = 100_000, 100_000
 
 
 def lines(text):
@@ -40,31 +43,39 @@ def long_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), keys.alias("keys")).select("id", "text_hash", F.transform("keys", hashes).alias("hashes"))
 
 
+def hot_keys(rows: DataFrame, n_lines: int) -> DataFrame:
+    """h1, h2, docs, keep_id of the at most ``HOT_KEYS`` keys that have too many lines for one range."""
+    bound = max(HOT_LINES, -(-n_lines // HOT_KEYS))
+    many = cut(rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= bound).select("h1", "h2"), "line-hot")
+    found = rows.join(F.broadcast(many), ["h1", "h2"]).select("h1", "h2", "id").distinct()  # rows that share an id are one document
+    out = cut(found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("id").alias("keep_id")), "line-hot-docs")
+    drop(many)
+    return out
+
+
+def in_ranges(rows: DataFrame) -> DataFrame:
+    """``rows`` with docs and keep_id of their key, by one pass through ranges of hashes in order of document and position."""
+    key = Window.partitionBy("h1", "h2")
+    order = key.orderBy(F.desc("id"), "text_hash", "pos")
+    seen = rows.repartitionByRange("h1", "h2").withColumn("keep_id", F.first("id").over(order)).withColumn("new", F.when(F.lag("id").over(order) == F.col("id"), 0).otherwise(1))
+    return seen.withColumn("docs", F.sum("new").over(key)).drop("new")
+
+
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """Id, text_hash, n_dropped and ``words``: array of (word, bits), bit b of word w set when line 64 w + b is dropped.
 
     Only rows that lose lines are listed, equal rows once; the hash tells rows that share an id apart.
     """
-    keyed = long_keys(docs, id_col, text_col, min_chars)
-    own = F.array_distinct(F.filter("hashes", lambda h: h.isNotNull()))
-    spread = (
-        keyed.where("id is not null").select("id", F.explode(own).alias("h"))
-        .select("h.h1", "h.h2", "id").distinct()  # rows that share an id are one document
-        .groupBy("h1", "h2")
-        .agg(F.count(F.lit(1)).alias("docs"), F.max("id").alias("keep_id"))
-        .where(F.col("docs") >= min_docs)
-        .select("h1", "h2", "keep_id")
-    )
-    spread = cut(spread, "line-keys")
+    keyed = cut(long_keys(docs, id_col, text_col, min_chars).where("id is not null and exists(hashes, h -> h is not null)"), "line-keys")
+    n_lines = keyed.agg(F.sum(F.size(F.filter("hashes", lambda h: h.isNotNull())).cast("long"))).first()[0] or 0
     rows = keyed.select("id", "text_hash", F.posexplode("hashes").alias("pos", "h")).where(F.col("h").isNotNull()).select("id", "text_hash", "pos", "h.h1", "h.h2")
-    if spread.count() <= BROADCAST_KEYS:
-        met = rows.join(F.broadcast(spread), ["h1", "h2"])
-    else:
-        salts = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = rows.withColumn("salt", F.pmod(F.xxhash64("id", "pos"), F.lit(SALTS)).cast("int")).join(salts, ["h1", "h2", "salt"])
-    hits = met.where(F.col("id") != F.col("keep_id"))
+    hot = hot_keys(rows, n_lines)
+    met = rows.join(F.broadcast(hot), ["h1", "h2"]).unionByName(in_ranges(rows.join(F.broadcast(hot), ["h1", "h2"], "left_anti")))
+    hits = met.where((F.col("docs") >= min_docs) & (F.col("id") != F.col("keep_id")))
     by_word = hits.groupBy("id", "text_hash", F.shiftright("pos", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("bits"))
-    return by_word.groupBy("id", "text_hash").agg(F.sum(F.bit_count("bits")).alias("n_dropped"), F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    out = cut(by_word.groupBy("id", "text_hash").agg(F.sum(F.bit_count("bits")).alias("n_dropped"), F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words")), "line-bitmaps")
+    drop(keyed, hot)
+    return out
 
 
 def dropped_positions(words):

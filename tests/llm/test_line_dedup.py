@@ -35,9 +35,10 @@ def corpus():
     return [*rows, (60, None), (61, ""), (62, "\n\n"), (63, "w" * 100_000), (64, HOT + "\n" + HOT)]
 
 
-@pytest.mark.parametrize("broadcast", [1_000_000, 0])
-def test_against_brute_force(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(L, "BROADCAST_KEYS", broadcast)
+@pytest.mark.parametrize("hot_lines, hot_keys", [(100_000, 100_000), (1, 10), (1, 10**9), (100, 10**9)])
+def test_against_brute_force(spark, monkeypatch, hot_lines, hot_keys):
+    monkeypatch.setattr(L, "HOT_LINES", hot_lines)
+    monkeypatch.setattr(L, "HOT_KEYS", hot_keys)
     rows = corpus()
     df = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, keys string, id int")
     assert sorted(map(tuple, L.line_dedup_report(df).collect())) == brute_force(rows)
@@ -65,3 +66,23 @@ def test_rows_that_share_an_id_lose_their_own_lines(spark):
 
 def test_empty_table(spark):
     assert L.line_dedup_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def key_rows(spark):
+    keyed = L.long_keys(spark.createDataFrame(corpus(), "doc_id long, text string"), "doc_id", "text", 40)
+    return keyed.selectExpr("id", "text_hash", "posexplode(hashes) as (pos, h)").where("h is not null").select("id", "text_hash", "pos", "h.h1", "h.h2")
+
+
+def test_hot_keys_stay_within_their_bound(spark, monkeypatch):
+    monkeypatch.setattr(L, "HOT_LINES", 1)
+    rows = key_rows(spark)
+    n = rows.count()
+    for most in [1, 3, 10]:
+        monkeypatch.setattr(L, "HOT_KEYS", most)
+        assert L.hot_keys(rows, n).count() <= most
+
+
+def test_ranges_are_the_only_shuffle_of_lines(spark, capsys):
+    L.in_ranges(key_rows(spark)).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange rangepartitioning") == plan.count("Exchange") == 1
