@@ -83,12 +83,15 @@ def dropped_positions(words):
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs``, the text without the dropped lines, and __n_lines, __n_dropped."""
+    """All columns of ``docs``, the text without the dropped lines, and __n_lines, __n_dropped.
+
+    Bitmaps grow with the documents, so they meet by shuffle at every size and are never broadcast.
+    """
     found = bitmaps.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("n_dropped").alias("__n_dropped"), dropped_positions(F.col("words")).alias("__drop"))
     all_lines = lines(F.col(text_col))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop")), lambda i: F.get("__lines", i))
     return (
-        docs.join(found, (docs[id_col] == F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left")
+        docs.join(found.hint("merge"), (docs[id_col] == F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left")
         .withColumn("__lines", all_lines)
         .withColumn(text_col, F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
         .withColumn("__n_lines", F.size("__lines").cast("long"))
