@@ -129,16 +129,23 @@ def remove_rels(graph: PropertyGraph, keys: DataFrame, types=None) -> PropertyGr
     return replace(graph, rels=graph.rels | {n: graph.rels[n].join(keys, on, "left_anti").select(*graph.rels[n].columns) for n in graph.types(types)})
 
 
+def created(graph: PropertyGraph, plan: L.Plan | str, params: dict[str, Any] | None = None) -> tuple[PropertyGraph, DataFrame]:
+    """The graph after a plan that creates, and the ids (column id) of what it created: their only sure names."""
+    plan = parse(plan) if isinstance(plan, str) else plan
+    low = Lowering(graph, params or {})
+    if not isinstance(plan, (L.CreateNode, L.CreateRel)):
+        raise QueryProcessingError(f"{type(plan).__name__} creates nothing")
+    rows = created_nodes(low, plan) if isinstance(plan, L.CreateNode) else created_rels(low, plan)
+    rows = _unpacked(rows, rows.columns[-1])
+    return add_nodes(graph, plan.label, rows) if isinstance(plan, L.CreateNode) else add_rels(graph, plan.type, rows), rows.select("id")
+
+
 def apply(graph: PropertyGraph, plan: L.Plan | str, params: dict[str, Any] | None = None) -> PropertyGraph:
     """The graph after an update plan."""
     plan = parse(plan) if isinstance(plan, str) else plan
+    if isinstance(plan, (L.CreateNode, L.CreateRel)):
+        return created(graph, plan, params)[0]
     low = Lowering(graph, params or {})
-    if isinstance(plan, L.CreateNode):
-        rows = created_nodes(low, plan)
-        return add_nodes(graph, plan.label, _unpacked(rows, rows.columns[-1]))
-    if isinstance(plan, L.CreateRel):
-        rows = created_rels(low, plan)
-        return add_rels(graph, plan.type, _unpacked(rows, rows.columns[-1]))
     if not isinstance(plan, (L.UpdateNode, L.Remove)):
         raise QueryProcessingError(f"{type(plan).__name__} changes nothing")
     df = low.lower(plan.child)
