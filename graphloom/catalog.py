@@ -316,8 +316,9 @@ def union_nary(g):
 
 @built("SELECT c_custkey AS key, c_name AS name FROM customer WHERE c_custkey < 5 UNION ALL SELECT 12345, 'Rocky'", "key name")
 def create_node(g):
-    g = U.apply(g, "Create((n:Customer { key: 12345, name: 'Rocky' }))")
-    return run(g, "Project([$0.key:uint64, $0.name:string], Filter($0.key < 5 || $0.key == 12345, NodeScan('Customer')))")
+    """A larger table has a customer of that key too; the created node is read by its id."""
+    g, new = U.created(g, "Create((n:Customer { key: 12345, name: 'Rocky' }))")
+    return run(g, "Project([$0.key:uint64, $0.name:string], Filter($0.key < 5 || $0.id == ?new, NodeScan('Customer')))", {"new": new.first().id})
 
 
 @built("SELECT c_custkey AS c, r_name AS region FROM customer, region WHERE c_custkey < 4 AND r_regionkey = 2", "c region")
