@@ -21,8 +21,11 @@ BROADCAST_ROWS = 20_000
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
-    """A table of so many rows, to be sent to the edges rather than the edges to it if it is small."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """A table of so many rows, to be sent to the edges rather than the edges to it if it is small.
+
+    A larger one is never sent: bytes in a shuffle say little of what paths take in the driver's memory.
+    """
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
 
 
 def distinct_edges(graph: PropertyGraph, type_=None, undirected: bool = False) -> DataFrame:
@@ -109,69 +112,173 @@ def shortest_paths(graph: PropertyGraph, pairs: DataFrame, type_=None, undirecte
     return union_all(found) if found else graph.spark.createDataFrame([], "src long, dst long, path array<long>, hops long")
 
 
+#: Labels of a root that one round follows, however far they are; of more, the nearer half.
+ROUND_ROWS = 1_000
+#: A side with so many times the other's open labels waits.
+LOPSIDED = 8
+#: Sums of the same weights in another order differ by less.
+EPS = 1e-9
+
+
+def lightest_edges(graph: PropertyGraph, type_, undirected: bool, weight: str) -> DataFrame:
+    """(node, to, w): the lightest of parallel edges, computed once."""
+    return materialise(edge_list(graph, type_, undirected, weight).groupBy(F.col("src").alias("node"), F.col("dst").alias("to")).agg(F.min("w").alias("w")))
+
+
+class Balls:
+    """Distances around both ends of pairs, found from both ends at once and the nearest first.
+
+    ``labels`` has (side, root, node, dist, open): side 0 goes forward from sources, side 1 back from targets; what is
+    open has not been followed yet.  No distance below the lowest open one of its root can get lower.  A pair is settled
+    when the lowest open distances of its two ends exceed its bound together: then each node of each path within the
+    bound has a label of at least one side, and the far parts of the graph were never met.
+    """
+
+    def __init__(self, edges: DataFrame, pairs: DataFrame):
+        self.edges, self.back = edges, edges.select(F.col("to").alias("node"), F.col("node").alias("to"), "w")
+        self.labels = materialise(self._ends(pairs).select("side", "root", F.col("root").alias("node"), F.lit(0.0).alias("dist"), F.lit(True).alias("open")))
+
+    @staticmethod
+    def _ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.lit(0).alias("side"), F.col("src").alias("root")).unionByName(pairs.select(F.lit(1).alias("side"), F.col("dst").alias("root"))).distinct()
+
+    def _side(self, side: int, root: str, dist: str) -> DataFrame:
+        return self.labels.where(F.col("side") == side).select(F.col("root").alias(root), "node", F.col("dist").alias(dist), "open")
+
+    def grow(self, pairs: DataFrame, slack: float = 0.0) -> DataFrame:
+        """Follows labels until each of ``pairs`` (src, dst, least) is settled; the connected ones as (src, dst, bound, ahead_low, back_low, ended).
+
+        The bound is the lightest weight and its share ``slack`` more, ``least`` at least.  A pair has ended if one of its
+        sides has nothing left to follow: all paths are within reach then.
+        """
+        while True:
+            near = self._side(0, "src", "f").join(self._side(1, "dst", "b"), "node").join(pairs.select("src", "dst"), ["src", "dst"]).groupBy("src", "dst").agg(F.min(F.col("f") + F.col("b")).alias("weight"))
+            low = self.labels.where("open").groupBy("side", "root").agg(F.min("dist").alias("low"))
+            state = pairs.join(near, ["src", "dst"], "left")
+            for side, root, name in ((0, "src", "ahead_low"), (1, "dst", "back_low")):
+                state = state.join(low.where(F.col("side") == side).select(F.col("root").alias(root), F.col("low").alias(name)), root, "left")
+            ended = F.col("ahead_low").isNull() | F.col("back_low").isNull()
+            bound = F.greatest(F.col("weight") * (1 + slack), "least") * (1 + EPS)
+            settled = ended | (F.col("weight").isNotNull() & (F.col("ahead_low") + F.col("back_low") > bound))
+            state = materialise(state.select("src", "dst", "weight", "ahead_low", "back_low", bound.alias("bound"), ended.alias("ended"), settled.alias("settled")))
+            left = state.where("not settled")
+            if left.isEmpty():
+                return state.where("weight is not null").select("src", "dst", "bound", "ahead_low", "back_low", "ended")
+            self._follow(left)
+
+    def _follow(self, pairs: DataFrame) -> None:
+        """One round of the roots of ``pairs``."""
+        roots = self.labels.where("open").join(self._ends(pairs), ["side", "root"], "left_semi")
+        roots = materialise(roots.groupBy("side", "root").agg(F.percentile_approx("dist", F.lit(0.5), F.lit(1000)).alias("mid"), F.count(F.lit(1)).alias("n")))
+        sums = {r["side"]: r for r in roots.groupBy("side").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots")).collect()}  # two rows
+        turn = [s for s, r in sums.items() if 1 - s not in sums or r["n"] <= LOPSIDED * sums[1 - s]["n"]]
+        roots = small(roots.where(F.col("side").isin(turn)), sum(r["roots"] for r in sums.values()))
+        goes = (F.col("n") <= ROUND_ROWS) | (F.col("dist") <= F.col("mid"))
+        marked = self.labels.join(roots, ["side", "root"], "left").withColumn("go", F.col("open") & F.coalesce(goes, F.lit(False)))
+        go = small(marked.where("go").select("side", "root", "node", "dist"), sum(sums[s]["n"] for s in turn))
+        edges = self.edges.select(F.lit(0).alias("side"), "node", "to", "w").unionByName(self.back.select(F.lit(1).alias("side"), "node", "to", "w"))
+        step = go.join(edges, ["side", "node"]).groupBy("side", "root", F.col("to").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
+        both = marked.select("side", "root", "node", "dist", (F.col("open") & ~F.col("go")).alias("open")).unionByName(step.withColumn("open", F.lit(True)))
+        # of equal distances the one that was followed stays
+        self.labels = materialise(both.groupBy("side", "root", "node").agg(F.min(F.struct("dist", "open")).alias("b")).select("side", "root", "node", "b.dist", "b.open"))
+
+    def steps(self, state: DataFrame) -> DataFrame:
+        """(src, dst, node, to, w, ahead, bound): the edges that paths within the bounds of ``state`` may take, ``ahead`` the distance from ``to`` to dst.
+
+        The distances to targets go on from the labels of side 1, now for each pair alone and only where the way from
+        the source and the way ahead fit the bound together.
+        """
+        bounds, behind = state.select("src", "dst", "bound", "ahead_low"), self._side(0, "src", "f").drop("open")
+
+        def fitting(rows: DataFrame) -> DataFrame:
+            way = F.when(F.col("ahead_low").isNull(), F.col("f")).otherwise(F.least("f", "ahead_low"))  # no label: at least the lowest open one
+            return rows.join(behind, ["src", "node"], "left").where(F.col("dist") + way <= F.col("bound")).select("src", "dst", "bound", "ahead_low", "node", "dist", "open")
+
+        rows = materialise(fitting(bounds.join(self._side(1, "dst", "dist"), "dst")))
+        while n := rows.where("open").count():
+            step = small(rows.where("open").drop("open"), n).join(self.back, "node").groupBy("src", "dst", "bound", "ahead_low", F.col("to").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
+            both = rows.withColumn("open", F.lit(False)).unionByName(fitting(step.withColumn("open", F.lit(True))))
+            rows = materialise(both.groupBy("src", "dst", "bound", "ahead_low", "node").agg(F.min(F.struct("dist", "open")).alias("b")).select("src", "dst", "bound", "ahead_low", "node", "b.dist", "b.open"))
+        ends = rows.select("src", "dst", F.col("node").alias("to"), F.col("dist").alias("ahead"), "bound")
+        return materialise(small(rows.select("src", "dst", "node"), rows.count()).join(self.edges, "node").join(ends, ["src", "dst", "to"]).select("src", "dst", "node", "to", "w", "ahead", "bound"))
+
+
+def extended(go: DataFrame, rows: int, steps: DataFrame) -> DataFrame:
+    """Each of ``rows`` simple paths of ``go`` one edge longer, if it can still meet its pair's bound."""
+    step = small(go, rows).join(steps, ["src", "dst", "node"]).where(~F.array_contains("path", F.col("to"))).where(F.col("dist") + F.col("w") + F.col("ahead") <= F.col("bound"))
+    return step.select("src", "dst", F.col("to").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.array_append("path", F.col("to")).alias("path"), "ahead")
+
+
 def weighted_shortest_paths(graph: PropertyGraph, pairs: DataFrame, type_=None, weight: str = "weight", undirected: bool = False, all_paths: bool = False) -> DataFrame:
-    """(src, dst, path, hops, weight) by relaxation to a fixed point; weights are not negative, a missing one is 0."""
+    """(src, dst, path, hops, weight) by relaxation to a fixed point; weights are not negative, a missing one is 0.
+
+    Weights are found first, from both ends and without paths; paths are made over edges of lightest paths only.
+    """
     pairs = materialise(pairs.select("src", "dst").where("src <> dst").distinct())
-    edges = materialise(edge_list(graph, type_, undirected, weight).groupBy(F.col("src").alias("node"), F.col("dst").alias("to")).agg(F.min("w").alias("w")))
-    best = F.struct("dist", F.size("path").alias("n"), "path")
-    dist = pairs.select("src", F.col("src").alias("node"), F.lit(0.0).alias("dist"), F.array("src").alias("path")).distinct()
-    frontier = dist
-    while True:
-        step = frontier.join(edges, "node").where(~F.array_contains("path", F.col("to"))).select("src", F.col("to").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.array_append("path", F.col("to")).alias("path"))
+    balls = Balls(lightest_edges(graph, type_, undirected, weight), pairs)
+    state = balls.grow(pairs.withColumn("least", F.lit(0.0)))
+    steps = balls.steps(state)
+    best = F.struct("dist", F.size("path").alias("n"), "path", "open")
+    known = state.select("src", "dst", F.col("src").alias("node"), F.lit(0.0).alias("dist"), F.array("src").alias("path"), F.lit(True).alias("open"))
+    while n := known.where("open").count():
+        step = extended(known.where("open"), n, steps).select("src", "dst", "node", "dist", "path", F.lit(True).alias("open"))
+        both = known.withColumn("open", F.lit(False)).unionByName(step)
         if all_paths:  # every path that is no worse than the best known one
-            low = dist.unionByName(step).groupBy("src", "node").agg(F.min("dist").alias("low"))
-            known = materialise(dist.unionByName(step).distinct().join(low, ["src", "node"]).where("dist = low").drop("low"))
-            frontier = materialise(known.join(dist, ["src", "node", "dist", "path"], "left_anti"))
+            known = both.withColumn("low", F.min("dist").over(Window.partitionBy("src", "dst", "node"))).where("dist = low").drop("low")
         else:
-            known = materialise(dist.unionByName(step).groupBy("src", "node").agg(F.min(best).alias("b")).select("src", "node", "b.dist", "b.path"))
-            frontier = materialise(known.join(dist.select("src", "node", F.col("dist").alias("d"), F.col("path").alias("p")), ["src", "node"], "left").where("d is null or dist <> d or path <> p").select("src", "node", "dist", "path"))
-        dist = known
-        if frontier.isEmpty():
-            break
-    return dist.join(pairs.withColumnRenamed("dst", "node"), ["src", "node"]).select("src", F.col("node").alias("dst"), "path", (F.size("path") - 1).cast("long").alias("hops"), F.col("dist").alias("weight"))
-
-
-def distances(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """(start, node, dist) of all nodes that a path over ``edges`` (node, to, w) leads to; weights are not negative."""
-    dist = frontier = materialise(starts.select("start", F.col("start").alias("node"), F.lit(0.0).alias("dist")).distinct())
-    while not frontier.isEmpty():
-        step = frontier.join(edges, "node").groupBy("start", F.col("to").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
-        better = step.join(dist, ["start", "node"], "left").where("dist is null or new < dist").select("start", "node", F.col("new").alias("dist"))
-        frontier = materialise(better)
-        dist = materialise(dist.unionByName(frontier).groupBy("start", "node").agg(F.min("dist").alias("dist")))
-    return dist
+            known = both.groupBy("src", "dst", "node").agg(F.min(best).alias("b")).select("src", "dst", "node", "b.dist", "b.path", "b.open")
+        known = materialise(known)
+    return known.where("node = dst").select("src", "dst", "path", (F.size("path") - 1).cast("long").alias("hops"), F.col("dist").alias("weight"))
 
 
 #: Partial paths of a pair that a round extends, for each answer that is asked for.
 BEAM = 4
+#: Share above the lightest weight within which answers are sought first.
+SLACK = 0.25
 
 
 def k_shortest_paths(graph: PropertyGraph, pairs: DataFrame, k: int, type_=None, weight: str = "weight", undirected: bool = False) -> DataFrame:
     """(src, dst, rank, path, hops, weight): the ``k`` lightest simple paths of each pair.
 
-    Distances to each target are found first.  A partial simple path's bound is its weight and the distance from its end
-    to the target: no answer that begins with it is lighter.  Each round extends the partial paths of lowest bound only,
-    ``BEAM * k`` of a pair and their ties; a pair is done when its k answers are no heavier than any bound.  Partial
-    paths that cannot reach the target have no bound and are never made.
+    Answers are sought within a bound, a pair's lightest weight and a quarter more.  Pairs that have fewer than ``k``
+    there go on with a bound half as large again, until they have them or a side has nothing left to follow.
     """
     pairs = materialise(pairs.select("src", "dst").where("src <> dst").distinct())
-    edges = materialise(edge_list(graph, type_, undirected, weight).groupBy(F.col("src").alias("node"), F.col("dst").alias("to")).agg(F.min("w").alias("w")))
-    ahead = distances(edges.select(F.col("to").alias("node"), F.col("node").alias("to"), "w"), pairs.select(F.col("dst").alias("start"))).select(F.col("start").alias("dst"), "node", F.col("dist").alias("ahead"))
-    partial = materialise(pairs.withColumn("node", F.col("src")).join(ahead, ["dst", "node"]).select("src", "dst", "node", F.lit(0.0).alias("dist"), F.array("src").alias("path"), F.col("ahead").alias("bound")))
+    balls = Balls(lightest_edges(graph, type_, undirected, weight), pairs)
+    todo, found = pairs.withColumn("least", F.lit(0.0)), []
+    while True:
+        state = balls.grow(todo, SLACK).withColumn("bound", F.when(F.col("ended"), F.lit(float("inf"))).otherwise(F.col("bound")))
+        answers = _lightest_within(balls.steps(state), state, k)
+        short = state.where("not ended").join(answers.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")), ["src", "dst"], "left").where(F.coalesce("n", F.lit(0)) < k)
+        todo = materialise(short.select("src", "dst", (1.5 * (F.col("ahead_low") + F.col("back_low"))).alias("least")))
+        found.append(answers.join(todo, ["src", "dst"], "left_anti"))
+        if todo.isEmpty():
+            break
+    order = Window.partitionBy("src", "dst").orderBy("weight", F.size("path"), "path")
+    return union_all(found).withColumn("rank", F.row_number().over(order)).select("src", "dst", "rank", "path", (F.size("path") - 1).cast("long").alias("hops"), "weight")
+
+
+def _lightest_within(steps: DataFrame, state: DataFrame, k: int) -> DataFrame:
+    """(src, dst, path, weight): at most ``k`` answers of each pair, no heavier than its bound.
+
+    A partial simple path's own bound is its weight and the distance from its end to the target: no answer that begins
+    with it is lighter.  Each round extends the partial paths of lowest bound only, ``BEAM * k`` of a pair and their
+    ties; a pair is done when its k answers are no heavier than any bound.
+    """
+    partial = state.select("src", "dst", F.col("src").alias("node"), F.lit(0.0).alias("dist"), F.array("src").alias("path"), F.lit(0.0).alias("bound"))
     order = Window.partitionBy("src", "dst").orderBy("weight", F.size("path"), "path")
     by_bound = Window.partitionBy("src", "dst").orderBy("bound")
-    answers = graph.spark.createDataFrame([], "src long, dst long, path array<long>, weight double")
-    while not partial.isEmpty():
+    answers = steps.sparkSession.createDataFrame([], "src long, dst long, path array<long>, weight double")
+    while n := partial.count():
         ranked = partial.withColumn("turn", F.rank().over(by_bound) <= BEAM * k)
-        step = ranked.where("turn").join(edges, "node").where(~F.array_contains("path", F.col("to"))).select("src", "dst", F.col("to").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.array_append("path", F.col("to")).alias("path"))
-        step = materialise(step.join(ahead, ["dst", "node"]).withColumn("bound", F.col("dist") + F.col("ahead")).drop("ahead"))
+        step = materialise(extended(ranked.where("turn").drop("turn", "bound"), n, steps).withColumn("bound", F.col("dist") + F.col("ahead")).drop("ahead"))
         hits = step.where("node = dst").select("src", "dst", "path", F.col("dist").alias("weight"))
         answers = materialise(answers.unionByName(hits).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"))
         full = answers.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("worst")).where(F.col("n") >= k)
         left = ranked.where("not turn").drop("turn").unionByName(step.where("node <> dst"))
         # a partial path as heavy as the worst answer may still give an answer that comes before it among equals
-        partial = materialise(left.join(full, ["src", "dst"], "left").where("worst is null or bound <= worst").drop("n", "worst"))
-    return answers.withColumn("rank", F.row_number().over(order)).select("src", "dst", "rank", "path", (F.size("path") - 1).cast("long").alias("hops"), "weight")
+        partial = materialise(left.join(full, ["src", "dst"], "left").where(F.col("worst").isNull() | (F.col("bound") <= F.col("worst") * (1 + EPS))).drop("n", "worst"))
+    return answers
 
 
 def csr_rows(graph: PropertyGraph, type_=None, weight: str | None = None, undirected: bool = False) -> DataFrame:
