@@ -26,7 +26,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{prepare(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: An estimate of a table's bytes beyond this is no size; Spark takes as much for a table of unknown size.
+MOST_BYTES = 2**63 - 1
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """``df`` computed once into the checkpoint folder."""
     prepare(df.sparkSession)
-    return df.checkpoint()
+    return _plain_size(df.checkpoint())
+
+
+def _plain_size(df: DataFrame) -> DataFrame:
+    """A checkpoint keeps its plan's estimate of bytes, joins multiply them, and a loop that joins a table to one that comes
+    from it squares them each round: after some thirty rounds that number alone fills the driver.  It is dropped here."""
+    plan = df._jdf.queryExecution().analyzed()
+    if int(plan.stats().sizeInBytes()) <= MOST_BYTES:
+        return df
+    jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+    none = getattr(getattr(jvm.scala, "None$"), "MODULE$")
+    plan = jvm.org.apache.spark.sql.execution.LogicalRDD(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream(), session, none, none)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, plan), df.sparkSession)
