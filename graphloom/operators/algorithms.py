@@ -145,21 +145,23 @@ class Balls:
     def _side(self, side: int, root: str, dist: str) -> DataFrame:
         return self.labels.where(F.col("side") == side).select(F.col("root").alias(root), "node", F.col("dist").alias(dist), "open")
 
-    def grow(self, pairs: DataFrame, slack: float = 0.0) -> DataFrame:
+    def grow(self, pairs: DataFrame, k: int = 1) -> DataFrame:
         """Follows labels until each of ``pairs`` (src, dst, least) is settled; the connected ones as (src, dst, bound, ahead_low, back_low, ended).
 
-        The bound is the lightest weight and its share ``slack`` more, ``least`` at least.  A pair has ended if one of its
+        The bound is the ``k``-th weight of walks that differ in weight, ``least`` at least.  A pair has ended if one of its
         sides has nothing left to follow: all paths are within reach then.
         """
         while True:
-            near = self._side(0, "src", "f").join(self._side(1, "dst", "b"), "node").join(pairs.select("src", "dst"), ["src", "dst"]).groupBy("src", "dst").agg(F.min(F.col("f") + F.col("b")).alias("weight"))
+            near = self._side(0, "src", "f").join(self._side(1, "dst", "b"), "node").join(pairs.select("src", "dst"), ["src", "dst"]).groupBy("src", "dst", F.round(F.col("f") + F.col("b"), 6).alias("about")).agg(F.min(F.col("f") + F.col("b")).alias("weight"))
+            turn = Window.partitionBy("src", "dst").orderBy("about")
+            near = near.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= k).groupBy("src", "dst").agg(F.min("weight").alias("weight"), F.max(F.when(F.col("turn") == k, F.col("weight"))).alias("kth"))
             low = self.labels.where("open").groupBy("side", "root").agg(F.min("dist").alias("low"))
             state = pairs.join(near, ["src", "dst"], "left")
             for side, root, name in ((0, "src", "ahead_low"), (1, "dst", "back_low")):
                 state = state.join(low.where(F.col("side") == side).select(F.col("root").alias(root), F.col("low").alias(name)), root, "left")
             ended = F.col("ahead_low").isNull() | F.col("back_low").isNull()
-            bound = F.greatest(F.col("weight") * (1 + slack), "least") * (1 + EPS)
-            settled = ended | (F.col("weight").isNotNull() & (F.col("ahead_low") + F.col("back_low") > bound))
+            bound = F.greatest("kth", "least") * (1 + EPS)
+            settled = ended | (F.col("kth").isNotNull() & (F.col("ahead_low") + F.col("back_low") > bound))
             state = materialise(state.select("src", "dst", "weight", "ahead_low", "back_low", bound.alias("bound"), ended.alias("ended"), settled.alias("settled")))
             left = state.where("not settled")
             if left.isEmpty():
@@ -233,21 +235,19 @@ def weighted_shortest_paths(graph: PropertyGraph, pairs: DataFrame, type_=None,
 
 #: Partial paths of a pair that a round extends, for each answer that is asked for.
 BEAM = 4
-#: Share above the lightest weight within which answers are sought first.
-SLACK = 0.25
 
 
 def k_shortest_paths(graph: PropertyGraph, pairs: DataFrame, k: int, type_=None, weight: str = "weight", undirected: bool = False) -> DataFrame:
     """(src, dst, rank, path, hops, weight): the ``k`` lightest simple paths of each pair.
 
-    Answers are sought within a bound, a pair's lightest weight and a quarter more.  Pairs that have fewer than ``k``
+    Answers are sought within a bound, the ``k``-th weight of a pair's walks.  Pairs that have fewer than ``k`` simple paths
     there go on with a bound half as large again, until they have them or a side has nothing left to follow.
     """
     pairs = materialise(pairs.select("src", "dst").where("src <> dst").distinct())
     balls = Balls(lightest_edges(graph, type_, undirected, weight), pairs)
     todo, found = pairs.withColumn("least", F.lit(0.0)), []
     while True:
-        state = balls.grow(todo, SLACK).withColumn("bound", F.when(F.col("ended"), F.lit(float("inf"))).otherwise(F.col("bound")))
+        state = balls.grow(todo, k).withColumn("bound", F.when(F.col("ended"), F.lit(float("inf"))).otherwise(F.col("bound")))
         answers = _lightest_within(balls.steps(state), state, k)
         short = state.where("not ended").join(answers.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")), ["src", "dst"], "left").where(F.coalesce("n", F.lit(0)) < k)
         todo = materialise(short.select("src", "dst", (1.5 * (F.col("ahead_low") + F.col("back_low"))).alias("least")))
