@@ -80,7 +80,8 @@ def import_relationships(graph: PropertyGraph, path: str, sep: str = "|", strict
 def _linked(graph: PropertyGraph, df: DataFrame, labels: list[str], props: list[str]) -> DataFrame:
     ends = [graph.nodes[n].select(F.col("id").alias(k)) for n, k in zip(labels, ("src", "dst"))]
     named = df.select(node_ids(labels[0], "__a").alias("src"), node_ids(labels[1], "__b").alias("dst"), *props)
-    return named.join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi").select(F.xxhash64("src", "dst", *props).alias("id"), "src", "dst", *props)
+    # by source last: rows lie as a hop from their sources needs them
+    return named.join(ends[1], "dst", "left_semi").join(ends[0], "src", "left_semi").select(F.xxhash64("src", "dst", *props).alias("id"), "src", "dst", *props)
 
 
 def import_neo_nodes(graph: PropertyGraph, label: str, path: str, sep: str = ",") -> PropertyGraph:
@@ -105,8 +106,28 @@ def import_neo_relationships(graph: PropertyGraph, path: str, type_: str | None
     if type_ is None and ":TYPE" not in raw.columns:
         raise QueryProcessingError(f"{path} has no :TYPE column")
     named = raw.select(F.xxhash64(F.col("`:START_ID`")).alias("src"), F.xxhash64(F.col("`:END_ID`")).alias("dst"), (F.lit(type_) if type_ else F.col("`:TYPE`")).alias("__type"), *props)
-    named = typed(named, {"src", "dst", "__type"}).join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    types = [type_] if type_ else [r[0] for r in named.select("__type").distinct().collect()]  # a schema's worth of names
+    named = typed(named, {"src", "dst", "__type"})
+
+    def linked(rows: DataFrame) -> DataFrame:  # by source last: rows lie as a hop from their sources needs them
+        return rows.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
+
+    types = [type_] if type_ else _linked_types(named, ids, linked)
+    named = linked(named)
     for t in types:
         graph = add_rels(graph, t, named.where(F.col("__type") == t).select(F.xxhash64("src", "dst", *props).alias("id"), "src", "dst", *props))
     return graph
+
+
+def _linked_types(named: DataFrame, ids: DataFrame, linked) -> list[str]:
+    """Types with a row whose ends are both known (a schema's worth of names).
+
+    Two rows of each type are tried first, against nodes that stay where they are; only types that fail take the join of
+    all their rows.
+    """
+    tries = named.groupBy("__type").agg(F.array(F.min(F.struct("src", "dst")), F.max(F.struct("src", "dst"))).alias("rows"))
+    tries = [(r["__type"], e.src, e.dst) for r in tries.collect() for e in r["rows"] if e is not None]
+    ends = sorted({x for _, src, dst in tries for x in (src, dst)})
+    known = {r.id for r in ids.join(F.broadcast(named.sparkSession.createDataFrame([(x,) for x in ends], "id long")), "id", "left_semi").distinct().collect()}
+    names = {t for t, src, dst in tries if src in known and dst in known}
+    rest = sorted({t for t, _, _ in tries if t is not None} - names)
+    return sorted(names | ({r[0] for r in linked(named.where(F.col("__type").isin(rest))).select("__type").distinct().collect()} if rest else set()))
